@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sql
+from . import quality, secrets, sql
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in (op5_quality_rules, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": sql.QUALITY}
+    return {"op5_quality_rules": sql.QUALITY, "op8_secret_scan": sql.secrets(secrets.RULES)}

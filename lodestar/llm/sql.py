@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+import re
+
 QUALITY = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host
@@ -36,3 +38,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (n_words - gone) * 100 < n_words * 30 AS kept
 FROM judged
 """
+
+
+def secrets(rules) -> str:
+    """The spans of each rule from its matches and the pieces between them.  Letters are spelt out in either case."""
+
+    def re2(rule) -> str:
+        pattern = rule.pattern
+        if rule.ignore_case:
+            pattern = "".join(
+                x if x.startswith(("[", "\\")) else re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", x)
+                for x in re.findall(r"\[[^\]]*\]|\\x[0-9a-f]{2}|\\.|.", pattern)
+            )
+        return pattern.replace("'", "''")
+
+    parts = []
+    for k, rule in enumerate(rules):
+        parts.append(f"""
+  SELECT rid, kind, rank, start, start + length(m) AS stop FROM (
+    SELECT rid, '{rule.kind}' AS kind, {k} AS rank, ms[i] AS m, gs[i] AS g,
+      list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(text, '{re2(rule)}', 0) AS ms, regexp_extract_all(text, '{re2(rule)}', {rule.group}) AS gs,
+        regexp_split_to_array(text, '{re2(rule)}') AS ps
+      FROM d WHERE regexp_matches(text, '{re2(rule)}')))) WHERE length(g) >= {rule.min_length}""")
+    base = [r.kind for r in rules if r.base]
+    names = ", ".join(f"'{k}'" for k in base)
+    line = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT rid, kind, rank, start::BIGINT AS start, stop::BIGINT AS stop FROM ({" UNION ALL ".join(parts)})),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)},
+  {line} FILTER (kind IN ({names})) AS base, {line} AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in base)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
