@@ -35,12 +35,20 @@ _LATIN = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _LATIN_WORDS = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r {_LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
-_OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]|[\x1c-\x1f]")
+_PLAIN = bytes(c for c in range(256) if (c < 128 and not 28 <= c < 32) or (c >= 192 and c not in (215, 247)))
 #: Words in a worker's table; beyond, it starts anew.
 KEPT_WORDS = 600_000
 _NEVER = np.iinfo(np.int64).max
 
 
+def plain(text: str) -> bool:
+    """Whether a text has only ASCII and letters of Latin-1, where both engines cut alike."""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 def byte_of_char() -> dict[str, int]:
     rest = [b for b in range(256) if b not in set(PRINTABLE)]
     return {chr(b): b for b in PRINTABLE} | {chr(256 + n): b for n, b in enumerate(rest)}
@@ -221,7 +229,7 @@ class Encoder:
             begin = stop
 
     def split(self, text: str) -> list[str]:
-        return (_LATIN_WORDS if not _OTHER.search(text) else self.words).findall(text)
+        return (_LATIN_WORDS if plain(text) else self.words).findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""

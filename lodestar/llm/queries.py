@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, sql
+from . import bpe, packing, quality, secrets, sql
 from .common import table
 
 
@@ -34,8 +34,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op5_quality_rules, op8_secret_scan)}
+    return {f.__name__: f for f in (op3_bpe, op5_quality_rules, op8_secret_scan, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
