@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sql
+from . import bpe, licenses, packing, quality, secrets, sql
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op5_quality_rules, op8_secret_scan, op10_pack)}
+    return {f.__name__: f for f in (op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
