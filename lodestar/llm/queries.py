@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, quality, secrets, sql
+from . import bpe, licenses, packing, quality, secrets, sql, toxicity
 from .common import table
 
 
@@ -16,6 +16,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decode=True)
     return encoded.select(
@@ -43,7 +52,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op10_pack)}
+    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
