@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, quality, secrets, sql, toxicity
+from . import bpe, html_extract, licenses, packing, quality, secrets, sql, toxicity
 from .common import table
 
 
@@ -47,12 +47,20 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return extracted.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op10_pack)}
+    found = (
+        op1_toxicity, op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op9_html_extract, op10_pack,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
