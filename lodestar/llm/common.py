@@ -1,36 +1,18 @@
-"""Helpers shared by the corpus operators: input shaping and tables that survive lost executors."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import discard, materialise, shared_dir  # noqa: F401
+
 #: White space that separates words, as a character class of Java, RE2 and Python alike.
 SPACE = r"[\x20\x09-\x0D]"
 #: Internal columns carry this prefix, so that a caller's extra columns can't clash with them.
 P = "__ls_"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut and the size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,8 +25,3 @@ def text_of(column: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """Maximal runs without ASCII white space."""
     return F.array_remove(F.split(text, SPACE + "+"), "")
-
-
-def row_key(*columns: str) -> Column:
-    """64 bits that tell rows apart by their values; equal rows share them."""
-    return F.xxhash64(*[F.col(c) for c in columns])

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, licenses, packing, quality, secrets, sql, toxicity
+from . import bpe, html_extract, licenses, packing, quality, secrets, simhash, sql, toxicity
 from .common import table
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """The place of an installed public vocabulary; the operators take any path."""
     import public_tokenizers
@@ -58,7 +62,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_toxicity, op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op9_html_extract, op10_pack,
+        op1_toxicity, op2_simhash_dedup, op3_bpe, op4_license_scan, op5_quality_rules, op8_secret_scan, op9_html_extract, op10_pack,
     )
     return {f.__name__: f for f in found}
 
