@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, licenses, packing, quality, secrets, simhash, sql, toxicity
+from . import ann, bpe, html_extract, licenses, packing, quality, secrets, simhash, sql, substring, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op6_ann_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -66,7 +70,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_toxicity, op2_simhash_dedup, op3_bpe, op4_license_scan, op5_quality_rules, op6_ann_hilbert, op8_secret_scan, op9_html_extract, op10_pack,
+        op1_toxicity, op2_simhash_dedup, op3_bpe, op4_license_scan, op5_quality_rules, op6_ann_hilbert, op7_substring_dedup, op8_secret_scan, op9_html_extract, op10_pack,
     )
     return {f.__name__: f for f in found}
 
