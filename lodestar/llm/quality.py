@@ -145,7 +145,7 @@ def _judged(docs: DataFrame, rules: QualityRules, text: str, host: str, doc_id:
         stats.drop(P + "words", P + "hashes", P + "order", P + "at", P + "lines")
         .join(removable_lines(docs, rules, text, host, doc_id), [P + "host", P + "t"], "left")
         .withColumn(P + "base_failed", failed)
-        .withColumn(P + "kept", ~failed & ~depleted)
+        .withColumns({P + "kept": ~failed & ~depleted, P + "row": F.monotonically_increasing_id()})
     )
 
 
@@ -163,13 +163,16 @@ def filter_documents(
 ) -> DataFrame:
     """The kept documents, with all their columns, without the frequent lines.  A column n_chars is brought up to date where a text changes."""
     rest = [F.col(c) for c in docs.columns]
-    judged = _judged(docs, rules, text, host, doc_id, rest).where(F.col(P + "kept"))
+    #: A filter on the verdict alone would be pushed below the steps of the figures, which it would then
+    #: evaluate as one nested expression; a number that is not deterministic keeps it where it stands.
+    judged = _judged(docs, rules, text, host, doc_id, rest).where(F.col(P + "kept") & (F.col(P + "row") >= 0))
     left = F.array_join(
         F.filter(F.split(P + "text", "\n"), lambda x: ~F.array_contains(F.col(P + "remove"), F.xxhash64(_normalised(x)))), "\n"
     )
-    new = F.when(F.col(P + "remove").isNotNull(), left).otherwise(F.col(text))
-    out = {text: new.alias(text)}
+    changed = F.col(P + "remove").isNotNull()
+    judged = judged.withColumn(P + "new", F.when(changed, left).otherwise(F.col(text)))
+    out = {text: F.col(P + "new").alias(text)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out["n_chars"] = F.when(F.col(P + "remove").isNotNull(), F.length(new).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+        out["n_chars"] = F.when(changed, F.length(P + "new").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
     return judged.select(*[out.get(c, F.col(c)) for c in docs.columns])
