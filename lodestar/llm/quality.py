@@ -87,13 +87,18 @@ def _stats(df: DataFrame) -> DataFrame:
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return df.select(
-        "*",
-        F.length(F.array_join(words, "")).cast("long").alias(P + "word_chars"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias(P + "n_symbols"),
-        (F.size(P + "lines") - F.size(F.array_distinct(F.col(P + "lines")))).cast("long").alias(P + "n_dup_lines"),
-        covered.cast("long").alias(P + "n_repeat_words"),
-    )
+    figures = {
+        "n_words": F.col(P + "n_words"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size(P + "lines") - F.size(F.array_distinct(F.col(P + "lines")))).cast("long"),
+        "n_repeat_words": covered.cast("long"),
+    }
+    #: A filter on a figure would be pushed below all these steps and be evaluated there as one nested
+    #: expression, in quadratic time; a number that is not deterministic keeps it above them.
+    df = df.select("*", F.monotonically_increasing_id().alias(P + "row"), *[x.alias(P + "raw_" + c) for c, x in figures.items()])
+    df = df.withColumns({P + c: F.when(F.col(P + "row") >= 0, F.col(P + "raw_" + c)) for c in figures})
+    return df.drop(*[P + "raw_" + c for c in figures], *[P + c for c in ("row", "words", "hashes", "order", "at", "lines")])
 
 
 def removable_lines(docs: DataFrame, rules: QualityRules, text: str, host: str, doc_id: str) -> DataFrame:
@@ -142,10 +147,9 @@ def _judged(docs: DataFrame, rules: QualityRules, text: str, host: str, doc_id:
     removed = F.coalesce(F.col(P + "removed"), F.lit(0))
     depleted = (n - removed) * 100 < n * rules.min_left_percent
     return (
-        stats.drop(P + "words", P + "hashes", P + "order", P + "at", P + "lines")
-        .join(removable_lines(docs, rules, text, host, doc_id), [P + "host", P + "t"], "left")
+        stats.join(removable_lines(docs, rules, text, host, doc_id), [P + "host", P + "t"], "left")
         .withColumn(P + "base_failed", failed)
-        .withColumns({P + "kept": ~failed & ~depleted, P + "row": F.monotonically_increasing_id()})
+        .withColumn(P + "kept", ~failed & ~depleted)
     )
 
 
@@ -163,9 +167,7 @@ def filter_documents(
 ) -> DataFrame:
     """The kept documents, with all their columns, without the frequent lines.  A column n_chars is brought up to date where a text changes."""
     rest = [F.col(c) for c in docs.columns]
-    #: A filter on the verdict alone would be pushed below the steps of the figures, which it would then
-    #: evaluate as one nested expression; a number that is not deterministic keeps it where it stands.
-    judged = _judged(docs, rules, text, host, doc_id, rest).where(F.col(P + "kept") & (F.col(P + "row") >= 0))
+    judged = _judged(docs, rules, text, host, doc_id, rest).where(F.col(P + "kept"))
     left = F.array_join(
         F.filter(F.split(P + "text", "\n"), lambda x: ~F.array_contains(F.col(P + "remove"), F.xxhash64(_normalised(x)))), "\n"
     )
