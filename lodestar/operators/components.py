@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import wang_hash
 from ..plans.tables import discard, materialise
 
 
@@ -13,7 +14,7 @@ def _hooked(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("n")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("a").alias("n"))
     )
-    return both.groupBy("id").agg(F.least(F.min("n"), F.first("id")).alias("to"))
+    return both.groupBy("id").agg(F.least(F.min("n"), F.col("id")).alias("to"))
 
 
 def _to_roots(hooks: DataFrame) -> DataFrame:
@@ -64,3 +65,80 @@ def least_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFr
     if out is None:
         return singles
     return out.unionByName(singles.join(out, "id", "left_anti"))
+
+
+def connected_components(graph, algorithm: str = "exact", picks: int = 2) -> DataFrame:
+    """(id, component): weakly connected components, each named by its least vertex; isolated vertices are their own.
+
+    With algorithm "sampled" a few neighbours of each vertex are linked first, which settles most of a
+    giant component; the remaining edges are then contracted to what that leaves.  Labels are the same.
+    """
+    if algorithm == "exact":
+        labels = least_labels(graph.edges)
+    elif algorithm == "sampled":
+        first = materialise(least_labels(sampled_edges(graph, picks)), "sampled")
+        for end in ("src", "dst"):
+            label = first.select(F.col("id").alias(end), F.col("component").alias(end + "_c"))
+            rest = (rest if end == "dst" else graph.edges).join(label, end, "left").withColumn(end + "_c", F.coalesce(end + "_c", end))
+        second = materialise(least_labels(rest.where("src_c <> dst_c"), "src_c", "dst_c"), "rest")
+        later = second.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        labels = ends.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labels = labels.join(later, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    else:
+        raise ValueError(f"unknown algorithm {algorithm}")
+    return graph.vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def sampled_edges(graph, picks: int = 2) -> DataFrame:
+    """(src, dst): up to `picks` neighbours of each vertex, in a circle from a place that its Wang hash gives.
+
+    Neighbours are counted off in their order, so no row holds a whole neighbourhood.
+    """
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
+    degree = graph.edges.groupBy("src").agg(F.count("*").alias("deg"))
+    start = F.pmod(wang_hash(F.col("src")), F.col("deg"))
+    numbered = graph.edges.withColumn("place", place).join(degree, "src")
+    return numbered.where(F.pmod(F.col("place") - start, F.col("deg")) < picks).select("src", "dst")
+
+
+def component_sizes(labels: DataFrame) -> DataFrame:
+    """(component, size)."""
+    return labels.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def component_count(labels: DataFrame) -> DataFrame:
+    """One row: the number of components, which is that of the vertices that name one."""
+    return labels.where("id = component").agg(F.count("*").alias("num_components"))
+
+
+def label_propagation(graph, directed: bool = False, active_only: bool = True, counters: dict | None = None) -> DataFrame:
+    """(id, label): the least label that reaches a vertex, by rounds of taking the least label among neighbours.
+
+    Undirected, that is the component's least vertex; directed, the least vertex that a vertex leads to.
+    With active_only a round looks only at edges into vertices whose label has just changed; otherwise at
+    all.  counters gets the number of rounds, and the edges looked at (which takes a count a round).
+    """
+    pulls = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("via"))
+    if not directed and not graph.symmetric:
+        pulls = pulls.unionByName(graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("via")))
+    pulls = materialise(pulls.where("id <> via").distinct(), "pulls")
+    labels = materialise(graph.vertices.select("id", F.col("id").alias("label")), "labels")
+    changed, rounds, edges = labels, 0, 0
+    while True:
+        source = (changed if active_only else labels).select(F.col("id").alias("via"), F.col("label").alias("seen"))
+        looked = pulls.join(source, "via")
+        if counters is not None:
+            edges += looked.count()
+        offers = looked.groupBy("id").agg(F.min("seen").alias("offer"))
+        better = materialise(labels.join(offers, "id").where("offer < label").select("id", F.col("offer").alias("label")), "changed")
+        rounds += 1
+        if better.isEmpty():
+            break
+        new = better.select("id", F.col("label").alias("new"))
+        after = materialise(labels.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+        discard(labels)
+        labels, changed = after, better
+    if counters is not None:
+        counters |= {"rounds": rounds, "traversed_edges": edges}
+    return labels

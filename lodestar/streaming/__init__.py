@@ -1,0 +1 @@
+"""No operator of the engine consumes streams: its graphs are tables, and traversals iterate over them."""
