@@ -20,7 +20,9 @@ def read_text(spark: SparkSession, path: str, strict: bool = True, symmetrize: b
     pairs = lines.where("size(p) >= 2").select(
         F.expr("try_cast(p[0] as bigint)").alias("src"), F.expr("try_cast(p[1] as bigint)").alias("dst")
     )
-    header = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    first = rows.agg(F.min("_metadata.file_path")).first()[0]  # of a folder, the first file with lines
+    header = spark.read.text(first).where(F.trim("value") != "").limit(1).collect() if first else []
     parts = header[0][0].split() if header else []
     if len(parts) < 2 or not all(x.isdigit() for x in parts[:2]):
         raise ValueError(f"{path}: the first line must be `n m`")
