@@ -161,72 +161,68 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, tries: int = 2000) -> list[list[int]]:
-    """Moves and exchanges between underfull bins that raise the sum of squared fills, until bins empty.
-
-    The emptiest bin gives: an item moves into another bin, or is exchanged there for a shorter item,
-    or for two items that are shorter together, or two of its items for one.  Each step makes the
-    emptiest bin emptier and another one fuller.  At the bound on the number of bins nothing is left to do.
+def _best_step(lengths: np.ndarray, bins: list[list[int]], room: np.ndarray, capacity: int, k: int):
+    """The step from bin k to another one that raises the sum of squared fills most: (rise, items out, bin, items back)."""
+    others = [b for j, b in enumerate(bins) if j != k]
+    names = np.array([j for j in range(len(bins)) if j != k], np.int64)
+    items = np.array([i for b in others for i in b], np.int64)
+    where = np.repeat(names, [len(b) for b in others])
+    sizes, own = lengths[items], sorted(bins[k], key=lambda i: -int(lengths[i]))
+    same = np.flatnonzero(where[:-1] == where[1:])  # two neighbours in one bin
+    two = sizes[same] + sizes[same + 1]
+    fill = capacity - int(room[k])
+    best = (0, [], 0, [])
+
+    def consider(n: int, out: list[int], back: np.ndarray, to: np.ndarray, pick) -> None:
+        nonlocal best
+        net = n - back  # what moves over
+        rise = np.where((net > 0) & (net <= room[to]), 2 * net * (capacity - room[to] - fill + net), 0)
+        if len(rise) and (r := int(rise.max())) > best[0]:
+            at = int(rise.argmax())
+            best = (r, out, int(to[at]), pick(at))
+
+    seen: set[int] = set()
+    for x, a in enumerate(own):
+        n = int(lengths[a])
+        if n not in seen:  # equal lengths do the same
+            seen.add(n)
+            consider(n, [a], np.zeros(len(names), np.int64), names, lambda at: [])
+            consider(n, [a], sizes, where, lambda at: [int(items[at])])
+            consider(n, [a], two, where[same], lambda at: [int(items[same[at]]), int(items[same[at] + 1])])
+        for b in own[x + 1 :] if len(own) <= 64 else ():
+            consider(n + int(lengths[b]), [a, b], sizes, where, lambda at: [int(items[at])])
+    return best
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, effort: int = 400) -> list[list[int]]:
+    """Moves, and exchanges of one for one, two for one and one for two, between underfull bins, each of which raises
+    the sum of squared fills, until bins empty, nothing helps, or so many bins have been looked at.
+
+    The emptiest bins give first; after each step it is their turn again.  At the bound on the number of
+    bins there is nothing left to do.
     """
     least = -(-int(lengths.sum()) // capacity)
-    fills = np.array([int(lengths[b].sum()) for b in bins], np.int64)
-    full = [b for b, f in zip(bins, fills.tolist()) if f == capacity]
-    under = [(f, b) for b, f in zip(bins, fills.tolist()) if f < capacity]
-    stuck: list[list[int]] = []
-    while under and len(full) + len(stuck) + len(under) > least and tries > 0:
-        under.sort(key=lambda x: x[0])
-        giver, given = list(under[0][1]), False
-        others = [list(b) for _, b in under[1:]]
-        room = np.array([capacity - f for f, _ in under[1:]], np.int64)
-        while giver and others and tries > 0:
-            tries -= 1
-            items = np.array([i for b in others for i in b], np.int64)
-            where = np.repeat(np.arange(len(others)), [len(b) for b in others])
-            sizes, space = lengths[items], room[where]
-            best = (0, None)
-            own = sorted(set(giver), key=lambda i: -int(lengths[i]))
-            for a in own:
-                n = int(lengths[a])
-                fits = np.flatnonzero(room >= n)
-                if len(fits) and n > best[0]:  # a move
-                    best = (n, ([a], fits[np.argmin(room[fits])], []))
-                gain = np.where((n > sizes) & (n - sizes <= space), n - sizes, 0)  # one for one
-                if len(gain) and (g := int(gain.max())) > best[0]:
-                    k = int(gain.argmax())
-                    best = (g, ([a], where[k], [int(items[k])]))
-            for x, a in enumerate(own[:40]):  # two of the giver's for one
-                for b in own[x + 1 : 40]:
-                    n = int(lengths[a] + lengths[b])
-                    gain = np.where((n > sizes) & (n - sizes <= space), n - sizes, 0)
-                    if len(gain) and (g := int(gain.max())) > best[0]:
-                        k = int(gain.argmax())
-                        best = (g, ([a, b], where[k], [int(items[k])]))
-            if best[1] is None:  # one of the giver's for two that stand in one bin
-                same = np.flatnonzero(where[:-1] == where[1:]) if len(where) > 1 else np.zeros(0, np.int64)
-                two = sizes[same] + sizes[same + 1]
-                for a in own:
-                    n = int(lengths[a])
-                    gain = np.where((n > two) & (n - two <= space[same]), n - two, 0)
-                    if len(gain) and (g := int(gain.max())) > best[0]:
-                        k = int(same[gain.argmax()])
-                        best = (g, ([a], where[k], [int(items[k]), int(items[k + 1])]))
-            if best[1] is None:
-                break
-            gain, (out, to, back) = best
-            for i in out:
-                giver.remove(i)
-            for i in back:
-                others[to].remove(i)
-            giver += back
-            others[to] += out
-            room[to] -= gain
-            given = True
-        under = [(capacity - int(r), b) for r, b in zip(room, others)]
-        full += [b for f, b in under if f == capacity]
-        under = [(f, b) for f, b in under if f < capacity]
-        if giver:
-            stuck.append(giver)
-    return full + stuck + [b for _, b in under]
+    fills = [int(lengths[b].sum()) for b in bins]
+    full = [b for b, f in zip(bins, fills) if f == capacity]
+    under = sorted((list(b) for b, f in zip(bins, fills) if f < capacity), key=lambda b: int(lengths[b].sum()))
+    k = 0
+    while k < len(under) and len(full) + len(under) > least and effort > 0:
+        effort -= 1
+        room = np.array([capacity - int(lengths[b].sum()) for b in under], np.int64)
+        rise, out, to, back = _best_step(lengths, under, room, capacity, k)
+        if not rise:
+            k += 1
+            continue
+        for i in out:
+            under[k].remove(i)
+            under[to].append(i)
+        for i in back:
+            under[to].remove(i)
+            under[k].append(i)
+        full += [b for b in under if int(lengths[b].sum()) == capacity]
+        under = sorted((b for b in under if 0 < int(lengths[b].sum()) < capacity), key=lambda b: int(lengths[b].sum()))
+        k = 0
+    return full + under
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
