@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import byte_class, varint_length
 from ..plans.ranks import running_sum
+from ..plans.tables import materialise
 from .graph import Graph
 
 
@@ -111,7 +112,7 @@ def _decoded(rows: DataFrame) -> DataFrame:
 
 
 def compress(graph: Graph) -> CompressedGraph:
-    """Every row sorted, as deltas, as varints; vertices without neighbours have empty rows."""
+    """Every row sorted, as deltas, as varints; vertices without neighbours have empty rows.  A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +134,8 @@ def compress(graph: Graph) -> CompressedGraph:
     import pyarrow.compute  # noqa: F401
 
     rows = graph.adjacency().select("id", "neighbors").mapInArrow(run, "id bigint, deg int, n_bytes int, adj binary")
-    return CompressedGraph(graph.vertices, rows, graph.symmetric, graph.n)
+    rows = materialise(rows, "adjacency")  # a search reads it once a level
+    return CompressedGraph(rows.select("id"), rows, graph.symmetric, rows.count())
 
 
 def neighbours_of(graph: CompressedGraph, vertex: int) -> DataFrame:
