@@ -231,7 +231,9 @@ def _classes(hashed: DataFrame, limit: int) -> DataFrame:
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
     named = linked.join(names, "root").select("fp", "root", "name")
     joined = distinct.join(named, "fp", "left")
-    return joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
+    found = joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
+    #: Written, so that the join with the documents stands alone and Spark can split a fingerprint that many share.
+    return materialise(found, "classes")
 
 
 def components(docs: DataFrame, limit: int = 2, width: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
