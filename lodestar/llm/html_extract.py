@@ -245,6 +245,17 @@ def containers(root: Node) -> list[tuple[float, str, Node]]:
     return [(score, path, node) for score, _, path, node in found if score > 0]
 
 
+def _homes(root: Node) -> dict[int, Node | None]:
+    """For each node by its identity, the nearest article or main that it is or stands in."""
+    homes: dict[int, Node | None] = {}
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    while todo:
+        node, home = todo.pop()
+        homes[id(node)] = home = node if node.tag in ("article", "main") else home
+        todo += [(p, home) for p in node.parts if isinstance(p, Node)]
+    return homes
+
+
 def votes(source: str) -> list[tuple[str, float]]:
     """The paths that a page votes for, with weights that sum to one."""
     best: dict[str, float] = {}
@@ -255,11 +266,14 @@ def votes(source: str) -> list[tuple[str, float]]:
 
 
 def extract(source: str, path: str | None) -> str:
-    """The main text, from the best container at the path, or else from the page's best one."""
+    """The main text, from the best container at the path, or else from the page's best one; a container within
+    an article gives way to the article, whose heading and lead may stand beside it."""
     root = parse(source)
     ranked = containers(root)
+    homes = _homes(root)
     here = [node for _, at, node in ranked if at == path]
     for node in [*here[:1], *[n for _, _, n in ranked[:1]]]:
+        node = homes.get(id(node)) or node
         if text := "\n".join(blocks(node)):
             return text
     return "\n".join(blocks(root))
