@@ -45,12 +45,16 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", False, 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", False, 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    #: To the END line; without one, over headers and up to 200 base64 lines, which is beyond RSA keys of 16,384 bits.
+    #: A group without a bound would exhaust Java's stack on long texts.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]+-{1,4}){0,99}[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+         r"|(?:[\x20\x09-\x0D]*(?:Proc-Type|DEK-Info):[\x20\x09]*[A-Za-z0-9,-]+){0,4}"
+         r"(?:[\x20\x09-\x0D]*(?:\\[nr]){0,2}" + "[A-Za-z0-9+/]" * 16 + r"[A-Za-z0-9+/]*=?=?){0,200}(?:[\x20\x09-\x0D]*[A-Za-z0-9+/]{2,}={1,2})?)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("url", r"://[A-Za-z0-9._~%+-]{1,64}:[A-Za-z0-9._~%+-]{1,64}@"),
+    Rule("url", r"://[A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+-]+@"),
 )
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
