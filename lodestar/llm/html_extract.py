@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import P, materialise
 
+#: An attribute: a name and a value, which may hold quotes where it begins without one; a quote that never ends is part of a name or value.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+_ATTRIBUTE = re.compile(rf"""([^\s=/>]++)(?:\s*+=\s*+({_VALUE}))?+""")
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/=]++|[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 #: Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -53,44 +58,104 @@ CLOSES = {
 }
 #: Where the search for an element to close ends.
 SCOPE = frozenset("table ul ol dl body html article section div td th".split())
-#: Words in class, id and role that mark what isn't main text, or is.
+_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+#: Words in class, id and role that mark what isn't main text.
 NOISE = frozenset(
-    """nav navbar navigation navigational menu menubar breadcrumb breadcrumbs masthead topbar toolbar footer foot bottom sidebar
-    sidebars aside rail widget widgets ad ads advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored
-    sponsors promo promos promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe
-    subscription newsletter signup share sharing social follow related recommended recommendations trending comment comments
-    commentlist disqus reply replies respond discussion login search searchbox pagination pager complementary contentinfo
-    dialog hidden skip""".split()
+    """nav navbar navigation navigational menu menubar breadcrumb breadcrumbs masthead topbar toolbar footer sidebar
+    sidebars aside widget widgets ad ads advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored
+    sponsors promo promos promotion promotions cookie cookies consent gdpr notice notices notification notifications popup modal
+    overlay subscribe subscription newsletter signup share sharing recommended recommendations comment comments
+    commentlist disqus reply replies respond searchbox pagination pager complementary contentinfo""".split()
+)
+#: Words that do so alone or beside the words above and those for parts of a page.
+WEAK_NOISE = frozenset("social follow related trending alert login search discussion dialog skip hidden rail foot bottom".split())
+#: Words for parts of a page, which tell nothing by themselves.
+PARTS = frozenset(
+    """site page post article blog main content entry news story js the my us me to for at on and of bar box block card list lists item items link links
+    wrapper wrap container holder inner outer area zone slot unit section group row col cols column columns left right top center
+    middle primary secondary global desktop mobile button buttons btn btns icon icons form panel pane strip layout module component
+    region view title heading label tags tag meta policy settings count thread tree feed posts articles stories large small medium
+    sticky fixed floating header head nav body text message messages bottom foot count counter""".split()
 )
 MAIN = frozenset("article content main post entry story body text page blog news".split())
-_PARTS = re.compile(r"[a-z]+")
+#: What an article that is a reader's comment is called.
+COMMENTS = frozenset("comment comments reply replies".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Containers of a page that vote.
 VOTES = 3
 
 
 class Node:
-    __slots__ = ("tag", "noise", "path", "parts", "good", "words", "name")
+    __slots__ = ("tag", "name", "noise", "good", "parent", "parts", "heads", "size")
 
-    def __init__(self, tag: str, name: str = "", noise: bool = False, path: str = "", good: bool = False, words: frozenset = frozenset()):
-        self.tag, self.name, self.noise, self.path, self.good, self.words = tag, name, noise, path, good, words
+    def __init__(self, tag: str, name: str = "", noise: bool = False, good: bool = False, parent: Node | None = None):
+        self.tag, self.name, self.noise, self.good, self.parent = tag, name or tag, noise, good, parent
         self.parts: list = []  # strings and nodes
+        self.heads = False  # holds a heading
+        self.size = 0  # text in forms
+
+    def path(self) -> str:
+        names, node = [], self
+        while node:
+            names.append(node.name)
+            node = node.parent
+        return "/".join(reversed(names))
 
 
 def _general(value: str) -> str:
     """A class without what differs from page to page: digits and long codes."""
-    return re.sub(r"\d+", "#", value.lower())
+    return re.sub(r"\d+", "#", value.lower()).replace("/", "|")
+
+
+def _noisy(token: str, main: bool) -> bool:
+    """Whether a class, id or role says that an element isn't main text: it is made of a word that does so, and of
+    nothing but such words and those for parts of a page.  "cookie-notice" and "site-footer" are, "follow-up" isn't."""
+    found = [w.lower() for w in _WORDS.findall(token)]
+    rest = [w for w in found if w not in NOISE]
+    if not found or not all(w in WEAK_NOISE or w in PARTS for w in rest):
+        return False
+    if main:
+        return bool(COMMENTS.intersection(found))
+    return len(rest) < len(found) or any(w in WEAK_NOISE and w not in PARTS for w in rest) or len(found) == 1 and found[0] in WEAK_NOISE
+
+
+@lru_cache(maxsize=1 << 14)
+def _read(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(name, noise, good) of an element."""
+    noise, good = tag in DROPPED, tag in ("article", "main")
+    if not _TELLING.search(attributes):
+        return tag, noise, good
+    read: dict[str, str] = {}
+    for a in _ATTRIBUTE.finditer(attributes):
+        value = a[2] or ""
+        if value[:1] in ("'", '"') and value[-1:] == value[:1]:
+            value = value[1:-1]
+        read.setdefault(a[1].lower(), html.unescape(value))
+    tokens = " ".join(read.get(k, "") for k in ("class", "id", "role")).split()
+    words = frozenset(w.lower() for t in tokens for w in _WORDS.findall(t))
+    hidden = "hidden" in read and read["hidden"].lower() != "until-found" or read.get("aria-hidden") == "true" or _HIDDEN.search(read.get("style", ""))
+    if tag not in ("html", "body", "main"):
+        main = tag == "article" or any(t.lower() in ("article", "main", "content") for t in tokens)
+        noise = noise or bool(hidden) or any(_noisy(t, main) for t in tokens)
+    classes = sorted({_general(c) for c in read.get("class", "").split()})
+    return ".".join([tag, *classes]), noise, good or bool(words & MAIN)
 
 
 def parse(source: str) -> Node:
-    root = Node("html", path="html")
+    root = Node("html")
     stack = [root]
+    opened: Counter = Counter(html=1)  # elements in the stack by tag
     at, size = 0, len(source)
 
     def add(text: str) -> None:
         if text:
             stack[-1].parts.append(html.unescape(text))
 
+    def close(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     for m in _TOKEN.finditer(source):
         if m.start() < at:  # inside an element that is read raw
             continue
@@ -102,64 +167,70 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "br" or tag == "p" and not opened["p"]:
                 stack[-1].parts.append(Node(tag))
                 continue
+            if not opened[tag]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:  # a stray end of formatting
                     break
             continue
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in stack)):
+        if tag in ("html", "body") and (tag == "html" or opened["body"]):
             continue
-        if tag in BLOCK and tag != "html":
+        if tag in BLOCK and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):  # a block ends a paragraph
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[c] for c in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                 elif stack[k].tag in SCOPE and not (tag in ("tr", "tbody", "tfoot") and stack[k].tag in ("td", "th")):
                     break
-        node = Node(tag)
-        if m[3].strip(" /\n\t\r\f") and tag not in ("p", "a", "b", "i", "em", "strong"):
-            read = {}
-            for a in _ATTRIBUTE.finditer(m[3]):
-                read.setdefault(a[1].lower(), html.unescape((a[2] or "").strip("\"'")))
-            words = frozenset(_PARTS.findall(" ".join(read.get(k, "") for k in ("class", "id", "role")).lower()))
-            classes = sorted({_general(c) for c in read.get("class", "").split()})
-            hidden = "hidden" in read or read.get("aria-hidden") == "true" or _HIDDEN.search(read.get("style", ""))
-            node.words = words
-            node.name = ".".join([tag, *classes])
-            main = tag in ("article", "main", "body") or words & {"article", "main", "content"}
-            node.noise = bool(hidden) or bool(words & NOISE and not main)
-            node.good = bool(words & MAIN)
-        else:
-            node.name = tag
-        node.noise = node.noise or tag in DROPPED
-        node.good = node.good or tag in ("article", "main")
-        node.path = f"{stack[-1].path}/{node.name}"
+        node = Node(tag, *_read(tag, m[3]), stack[-1])
+        if tag in HEADING or tag in ("article", "main"):
+            above = stack[-1]
+            while above and not above.heads:
+                above.heads, above = True, above.parent
         stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = _END[tag].search(source, at)
             at = end.end() if end else size
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCK | {"span", "a"}:  # "/" means nothing there
+        elif tag not in VOID and (not m[3].rstrip().endswith("/") or tag in BLOCK or tag in ("span", "a")):  # "/" means nothing there
             stack.append(node)
+            opened[tag] += 1
     add(source[at:])
+    _forms(root)
     return root
 
 
+def _forms(root: Node) -> None:
+    """Forms that hold a page's headings, articles or most of its text are but containers."""
+    order, forms = [root], False
+    for node in order:
+        node.size = sum(len(p) for p in node.parts if isinstance(p, str))
+        forms |= node.tag == "form"
+        if node.tag not in RAW:
+            order += [p for p in node.parts if isinstance(p, Node)]
+    if forms:
+        for node in reversed(order):
+            if node.parent and node.tag not in RAW and node.tag != "head":
+                node.parent.size += node.size
+        for node in order:
+            if node.tag == "form" and (node.heads or 2 * node.size > root.size):
+                node.tag, node.noise = "div", False
+
+
 def _dropped(node: Node, within: str) -> bool:
     if node.tag == "header":  # a page's header goes, an article's own heading stays
-        return within not in ("article", "main", "section") or not _heads(node)
+        return within not in ("article", "main", "section") or not node.heads or node.noise
     return node.noise
 
 
@@ -167,10 +238,6 @@ def _kind(node: Node) -> str:
     return "article" if node.good and node.tag != "body" else node.tag
 
 
-def _heads(node: Node) -> bool:
-    return any(isinstance(p, Node) and (p.tag in HEADING or _heads(p)) for p in node.parts)
-
-
 def blocks(node: Node) -> list[str]:
     """The text of a container, block by block, without what isn't main text."""
     out: list[str] = []
@@ -206,60 +273,64 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def containers(root: Node) -> list[tuple[float, str, Node]]:
-    """(score, path, container), best first.  A container's own paragraphs count in full, those below it less."""
-    found: list[tuple[float, int, str, Node]] = []
-    totals: dict[int, list] = {}  # of a node: own characters, link characters, marks, score from below
-    order: list[tuple[Node, str]] = []
-    todo: list[tuple[Node, str, bool]] = [(root, root.tag, False)]
-    links: dict[int, bool] = {}
-    parents: dict[int, Node | None] = {id(root): None}
+def containers(root: Node) -> list[tuple[float, Node]]:
+    """(score, container), best first.  A container's own paragraphs count in full, those below it less."""
+    order: list[tuple[Node, Node | None, bool]] = []
+    todo: list[tuple[Node, Node | None, str, bool]] = [(root, None, root.tag, False)]
     while todo:
-        node, within, link = todo.pop()
-        order.append((node, within))
-        links[id(node)] = link
+        node, above, within, link = todo.pop()
+        order.append((node, above, link))
         for part in node.parts:
             if isinstance(part, Node) and part.tag not in VOID and not _dropped(part, within):
-                parents[id(part)] = node
-                todo.append((part, _kind(part) if part.tag in BLOCK else within, link or part.tag == "a"))
-    for node, _ in order:
+                todo.append((part, node, _kind(part) if part.tag in BLOCK else within, link or part.tag == "a"))
+    totals: dict[int, list] = {}  # of a node: own characters, link characters, marks, score from below
+    for node, _, link in order:
         text = "".join(p for p in node.parts if isinstance(p, str))
         n = len(" ".join(text.split()))
-        totals[id(node)] = [n, n if links[id(node)] else 0, sum(map(text.count, ".,;:!?")), 0.0]
+        totals[id(node)] = [n, n if link else 0, sum(map(text.count, ".,;:!?")), 0.0]
+    found: list[tuple[float, int, Node]] = []
     for rank in range(len(order) - 1, -1, -1):
-        node = order[rank][0]
+        node, above, _ = order[rank]
         n, linked, marks, below = totals[id(node)]
-        parent = parents[id(node)]
         if node.tag in CONTAINER:
             plain = max(0, n - 2 * linked)
             own = plain + 8 * marks
             score = (own + below) * (1.25 if node.good else 1.0)
-            found.append((score, rank, node.path, node))
-            passed = 0.9 * (own + below)  # an outer container must add something
-            if parent is not None:
-                totals[id(parent)][3] += passed
-        elif parent is not None:
+            found.append((score, rank, node))
+            if above is not None:
+                totals[id(above)][3] += 0.9 * (own + below)  # an outer container must add something
+        elif above is not None:
             for k, value in enumerate((n, linked, marks, below)):
-                totals[id(parent)][k] += value
+                totals[id(above)][k] += value
     found.sort(key=lambda x: (-x[0], x[1]))
-    return [(score, path, node) for score, _, path, node in found if score > 0]
+    return [(score, node) for score, _, node in found if score > 0]
 
 
-def _homes(root: Node) -> dict[int, Node | None]:
-    """For each node by its identity, the nearest article or main that it is or stands in."""
-    homes: dict[int, Node | None] = {}
-    todo: list[tuple[Node, Node | None]] = [(root, None)]
-    while todo:
-        node, home = todo.pop()
-        homes[id(node)] = home = node if node.tag in ("article", "main") else home
-        todo += [(p, home) for p in node.parts if isinstance(p, Node)]
-    return homes
+def _at(root: Node, ranked: list[tuple[float, Node]], path: str | None) -> Node | None:
+    """The best container at a path.  Only nodes along the path are looked at."""
+    names = (path or "").split("/")
+    level = [root] if root.name == names[0] else []
+    for name in names[1:]:
+        level = [p for node in level for p in node.parts if isinstance(p, Node) and p.name == name]
+    here = {id(n) for n in level}
+    return next((node for _, node in ranked if id(node) in here), None)
+
+
+def _home(node: Node) -> Node:
+    """The nearest article or main that a node is or stands in, else the node."""
+    above: Node | None = node
+    while above:
+        if above.tag in ("article", "main"):
+            return above
+        above = above.parent
+    return node
 
 
 def votes(source: str) -> list[tuple[str, float]]:
     """The paths that a page votes for, with weights that sum to one."""
     best: dict[str, float] = {}
-    for score, path, _ in containers(parse(source))[:VOTES]:
+    for score, node in containers(parse(source))[:VOTES]:
+        path = node.path()
         best[path] = max(best.get(path, 0.0), score)
     total = sum(v**4 for v in best.values())
     return [(p, v**4 / total) for p, v in best.items()] if total > 0 else []
@@ -270,11 +341,9 @@ def extract(source: str, path: str | None) -> str:
     an article gives way to the article, whose heading and lead may stand beside it."""
     root = parse(source)
     ranked = containers(root)
-    homes = _homes(root)
-    here = [node for _, at, node in ranked if at == path]
-    for node in [*here[:1], *[n for _, _, n in ranked[:1]]]:
-        node = homes.get(id(node)) or node
-        if text := "\n".join(blocks(node)):
+    here = _at(root, ranked, path)
+    for node in [*([here] if here else []), *[n for _, n in ranked[:1]]]:
+        if text := "\n".join(blocks(_home(node))):
             return text
     return "\n".join(blocks(root))
 
