@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -192,3 +193,27 @@ def test_pipeline(spark, odd, none, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+
+
+def test_neighbours_in_small_blocks(spark):
+    """Blocks and chunks change nothing; few vectors are looked at where there is structure."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[np.arange(3000) % 60] + 0.2 * rng.normal(size=(3000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = [bag(ann.neighbours(df, every=50, how=ann.Curves(block=b, chunk=c)).collect()) for b, c in ((4096, 2048), (100, 2))]
+    assert rows[0] == rows[1] and len(rows[0]) == 600
+
+
+def test_candidates_met_once():
+    """Each pair within the window of some ordering is looked at in exactly one of them, and the nearest are kept."""
+    rng = np.random.default_rng(9)
+    at = np.array([rng.permutation(200) for _ in range(5)], np.int32).T
+    x = rng.integers(0, 3, size=(200, 4)).astype(float)
+    asked, window, found = np.arange(0, 200, 10), 7, []
+    for l in range(5):
+        tables = [pa.table({"l": [l] * len(i), "cid": i, "at": at[i].tolist(), "v": x[i].tolist()}) for i in (asked, np.arange(200))]
+        found += [(a, b, d) for q, c, far in ann._meet(*tables, 4, window, 1000) for a, b, d in zip(q.tolist(), c.tolist(), far.tolist())]
+    near = np.abs(at[asked][:, None, :] - at[None]).min(2) <= window
+    wanted = [(int(asked[i]), int(j), float(np.sqrt(((x[asked[i]] - x[j]) ** 2).sum()))) for i, j in zip(*np.nonzero(near)) if asked[i] != j]
+    assert sorted(found) == sorted(wanted)
