@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -10,10 +11,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Written tables that haven't been discarded: path -> number.
+_written: dict[str, int] = {}
+_numbers = itertools.count()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir.  Where it is unset, a folder of our own, on one machine only: executors elsewhere would
+    each write to a disk of their own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -25,15 +35,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[path] = next(_numbers)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestar_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _written.pop(path, None)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `materialise` wrote and that nothing reads any more."""
     path = getattr(df, "_lodestar_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def settled(df: DataFrame, name: str, begun: int) -> DataFrame:
+    """Write df, and delete the tables that were written on the way to it, since `begun`."""
+    out = materialise(df, name)
+    for path in [p for p, n in _written.items() if n > begun and p != out._lodestar_path]:
+        _delete(df.sparkSession, path)
+    return out
+
+
+def begin() -> int:
+    """A mark for `settled`: the number of the last table so far."""
+    return next(_numbers)
