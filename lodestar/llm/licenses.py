@@ -9,14 +9,15 @@ Words in no template reset the automaton, so only runs of known words are stream
 Beside the templates there are base phrases: every place where their words stand consecutively counts.
 
 Defined cases: a null or empty text has no words, no label and a score of 0; overlapping places of a
-phrase all count; a template counts once however often it occurs; between spans of equal coverage
-the earlier one is reported; repeated rows each get a row; an empty table gives an empty result;
+phrase all count; every place that covers a template well enough is a span; spans of one template are
+apart, of overlapping ones that of greater coverage stays, or the earlier one; repeated rows each get a row; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,9 +149,10 @@ class Scanner:
         self.phrases = [[self.vocabulary[w] for w in p] for p in phrases]
         self.automaton = Automaton(self.sequences)
 
-    def spans(self, matches: list[tuple[int, int, int, int]], template: int) -> tuple[float, int, int]:
-        """The best chain of a template's matches (start, end, start there, end there): coverage, start and end."""
-        size, best = len(self.sequences[template]), (0.0, 0, 0)
+    def spans(self, matches: list[tuple[int, int, int, int]], template: int) -> tuple[float, list[tuple[int, int, float]]]:
+        """Of a template's matches (start, end, start there, end there): the best chain's coverage, and all spans (start,
+        end, coverage) of chains that cover enough, apart from one another, the best ones first chosen."""
+        size = len(self.sequences[template])
         chains: list[tuple[int, int, int, int, int]] = []  # covered, start, end, end in the template, start of the last match
         for s, e, ts, te in sorted(matches):
             covered, start = e - s, s
@@ -161,9 +163,15 @@ class Scanner:
                 if cut < e - s and s - ce <= self.rules.max_gap and te > cte and c + e - s - cut > covered:
                     covered, start = c + e - s - cut, cs
             chains.append((covered, start, e, te, s))
-            if covered / size > best[0]:
-                best = (covered / size, start, e)
-        return best
+        found: list[tuple[int, int, float]] = []
+        for covered, start, end, _, _ in sorted(chains, key=lambda c: (-c[0], c[1], c[2])):
+            if covered / size < self.rules.min_cover:
+                break
+            k = bisect(found, (start, end, 0.0))
+            if (not k or found[k - 1][1] <= start) and (k == len(found) or found[k][0] >= end):
+                found.insert(k, (start, end, covered / size))
+        return max(c[0] for c in chains) / size, found
+
 
     def scan(self, text: str) -> dict:
         rules, tokens = self.rules, words(text)
@@ -191,11 +199,11 @@ class Scanner:
                         found.setdefault(template, []).append((begin + at - length, begin + at, te - length, te))
         score, spans = 1.0 if base else 0.0, []
         for template in sorted(found):
-            cover, start, end = self.spans(found[template], template)
+            cover, covered = self.spans(found[template], template)
             score = max(score, cover)
-            if cover >= rules.min_cover:
+            for start, end, share in covered:
                 labels.add(rules.templates[template][0])
-                spans.append({"label": rules.templates[template][0], "start": start, "end": end, "cover": cover})
+                spans.append({"label": rules.templates[template][0], "start": start, "end": end, "cover": share})
         return {
             "n_words": n, "n_base": places, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | labels)), "score": min(score, 1.0), "spans": spans,
