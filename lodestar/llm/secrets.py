@@ -4,7 +4,7 @@ From each rule's expression a Boolean trigram query is derived.  One pass over t
 trigrams that occur in any query; postings are intersected by conjunction, and only the candidates
 of a rule are verified with its expression.  Rules without a mandatory trigram scan every text.
 
-The candidates (a key and a bit mask each) are written out first, so that the join that brings them
+The candidates (a key and its rules each) are written out first, so that the join that brings them
 to the texts is a broadcast only where Spark finds them below its size limit, and a shuffle beyond.
 
 Defined cases: a null text is empty and has no spans; repeated rows each get a row; documents are
@@ -60,6 +60,11 @@ RULES = (
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
+def _scans_fully(rule: Rule) -> bool:
+    query = trigram_query(rule.pattern)
+    return query == ANY or frozenset() in query
+
+
 def postings(docs: DataFrame, trigrams: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The inverted index of these trigrams: a row (trigram, key) for each that a lower-cased text holds."""
     low = docs.select(
@@ -70,37 +75,37 @@ def postings(docs: DataFrame, trigrams: list[str], text: str = "text", doc_id: s
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, mask): the rules, as bits, whose trigram query a document satisfies.  Rules that scan fully have no bit."""
-    wanted = []  # (trigram, rule, conjunction, bit of the trigram, mask of the conjunction)
+    """(key, rules): the rules whose trigram query a document satisfies.  Rules that scan fully are not among them.
+    There is no limit on rules, or on the trigrams of a query."""
+    wanted = []  # (trigram, rule, conjunction, trigrams in the conjunction)
     for k, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        if query == ANY or frozenset() in query:
+        if _scans_fully(rule):
             continue
+        query = trigram_query(rule.pattern)
         for c, conjunction in enumerate(sorted(map(sorted, query))):
-            wanted += [(t, k, c, 1 << i, (1 << len(conjunction)) - 1) for i, t in enumerate(conjunction)]
+            wanted += [(t, k, c, len(conjunction)) for t in conjunction]
     spark = docs.sparkSession
-    schema = f"{P}trigram string, rule int, part int, bit long, full long"
-    query = F.broadcast(spark.createDataFrame(wanted, schema))  # a few rows a rule
+    query = F.broadcast(spark.createDataFrame(wanted, f"{P}trigram string, rule int, part int, size int"))  # a few rows a rule
     index = postings(docs, sorted({w[0] for w in wanted}), text, doc_id)
     return (
         index.join(query, P + "trigram")
-        .groupBy(P + "key", "rule", "part", "full")
-        .agg(F.bit_or("bit").alias("got"))
-        .where("got = full")
+        .groupBy(P + "key", "rule", "part", "size")
+        .agg(F.size(F.collect_set(P + "trigram")).alias("got"))  # of a conjunction's trigrams
+        .where("got = size")
         .groupBy(P + "key")
-        .agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias(P + "mask"))
+        .agg(F.collect_set("rule").alias(P + "rules"))
     )
 
 
 def _spans(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Adds P + spans, in order of start and then of rule, from P + text and P + mask."""
-    text, mask = F.col(P + "text"), F.coalesce(F.col(P + "mask"), F.lit(0))
+    """Adds P + spans, in order of start and then of rule, from P + text and P + rules."""
+    text = F.col(P + "text")
     none = F.array().cast("array<string>")
     for k, rule in enumerate(rules):
         #: The pieces between matches give their places; without a match there is one piece.
         due = text.rlike(rule.java)
-        if trigram_query(rule.pattern) != ANY:
-            due = mask.bitwiseAND(F.lit(1 << k)) != 0
+        if not _scans_fully(rule):
+            due = F.array_contains(P + "rules", k)
         pattern = F.lit(rule.java)
         df = df.withColumns({
             f"{P}m{k}": F.when(due, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none),
