@@ -22,6 +22,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def identity(doc_id: str, text: str) -> Column:
+    """128 bits that tell a row from all with another id or text."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(text_of(text)))))
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs without ASCII white space."""
     return F.array_remove(F.split(text, SPACE + "+"), "")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import least_labels
-from .common import P, materialise, text_of
+from .common import P, identity, lookup, materialise, text_of
 
 BITS = 64
 #: Bits of a block, whose 2**BLOCK values are counted.
@@ -62,7 +62,7 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, key, fp) of every document: a hash of its id and text, and the fingerprint as a signed 64-bit integer."""
+    """(doc_id, key, fp) of every document: 128 bits of its id and text, and the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +70,8 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "key", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), text_of(text)).alias("key"), text_of(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), identity(doc_id, text).alias("key"), text_of(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key binary, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -228,11 +228,11 @@ def _classes(hashed: DataFrame, limit: int) -> DataFrame:
     distinct = materialise(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = materialise(links(distinct.select("fp"), limit), "links")
     linked = distinct.join(least_labels(found, "a", "b").select(F.col("id").alias("fp"), F.col("component").alias("root")), "fp")
+    linked = materialise(linked, "linked")
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
-    named = linked.join(names, "root").select("fp", "root", "name")
+    named = lookup(linked, names, ["root"])  # a component may hold a large share of all fingerprints.select("fp", "root", "name")
     joined = distinct.join(named, "fp", "left")
     found = joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
-    #: Written, so that the join with the documents stands alone and Spark can split a fingerprint that many share.
     return materialise(found, "classes")
 
 
@@ -240,7 +240,7 @@ def components(docs: DataFrame, limit: int = 2, width: int = 3, seed: int = 42,
     """(doc_id, fingerprint, component_id) of every document."""
     hashed = materialise(fingerprints(docs, width, seed, text, doc_id), "fingerprints")
     digits = F.lower(F.lpad(F.hex("fp"), BITS // 4, "0"))
-    return hashed.join(_classes(hashed, limit), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return lookup(hashed, _classes(hashed, limit), ["fp"]).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_first(
@@ -250,7 +250,7 @@ def keep_first(
     last; of rows with one id, the one that a hash of id and text picks stays."""
     hashed = materialise(fingerprints(docs, width, seed, text, doc_id), "fingerprints")
     ranked = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"))
-    first = hashed.join(_classes(hashed, limit), "fp").groupBy("root").agg(F.min(ranked).alias("first"))
+    first = lookup(hashed, _classes(hashed, limit), ["fp"]).groupBy("root").agg(F.min(ranked).alias("first"))
     chosen = materialise(first.select(F.col("first.key").alias(P + "key")), "chosen")
-    keyed = docs.withColumn(P + "key", F.xxhash64(F.col(doc_id), text_of(text)))
+    keyed = docs.withColumn(P + "key", identity(doc_id, text))
     return keyed.join(chosen, P + "key", "left_semi").dropDuplicates([P + "key"]).select(*docs.columns)
