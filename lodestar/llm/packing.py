@@ -161,68 +161,79 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_step(lengths: np.ndarray, bins: list[list[int]], room: np.ndarray, capacity: int, k: int):
-    """The step from bin k to another one that raises the sum of squared fills most: (rise, items out, bin, items back)."""
-    others = [b for j, b in enumerate(bins) if j != k]
-    names = np.array([j for j in range(len(bins)) if j != k], np.int64)
-    items = np.array([i for b in others for i in b], np.int64)
-    where = np.repeat(names, [len(b) for b in others])
-    sizes, own = lengths[items], sorted(bins[k], key=lambda i: -int(lengths[i]))
-    same = np.flatnonzero(where[:-1] == where[1:])  # two neighbours in one bin
-    two = sizes[same] + sizes[same + 1]
-    fill = capacity - int(room[k])
-    best = (0, [], 0, [])
-
-    def consider(n: int, out: list[int], back: np.ndarray, to: np.ndarray, pick) -> None:
-        nonlocal best
-        net = n - back  # what moves over
-        rise = np.where((net > 0) & (net <= room[to]), 2 * net * (capacity - room[to] - fill + net), 0)
-        if len(rise) and (r := int(rise.max())) > best[0]:
-            at = int(rise.argmax())
-            best = (r, out, int(to[at]), pick(at))
-
-    seen: set[int] = set()
-    for x, a in enumerate(own):
-        n = int(lengths[a])
-        if n not in seen:  # equal lengths do the same
-            seen.add(n)
-            consider(n, [a], np.zeros(len(names), np.int64), names, lambda at: [])
-            consider(n, [a], sizes, where, lambda at: [int(items[at])])
-            consider(n, [a], two, where[same], lambda at: [int(items[same[at]]), int(items[same[at] + 1])])
-        for b in own[x + 1 :] if len(own) <= 64 else ():
-            consider(n + int(lengths[b]), [a, b], sizes, where, lambda at: [int(items[at])])
+class _Bin:
+    """A sequence: its items, fill, and the distinct lengths of one and of two of its items.  As the lengths add up to
+    the capacity at most, there are no more than about sqrt(2 capacity) of the former, and capacity of the latter."""
+
+    __slots__ = ("items", "fill", "ones", "twos")
+
+    def __init__(self, items: list[int], lengths: np.ndarray):
+        self.items, of = items, lengths[items]
+        self.fill = int(of.sum())
+        self.ones, counts = np.unique(of, return_counts=True)
+        i, j = np.triu_indices(len(self.ones))
+        some = (i != j) | (counts[i] > 1)
+        self.twos = np.unique(self.ones[i[some]] + self.ones[j[some]])
+
+    def pick(self, total: int, n: int, lengths: np.ndarray) -> list[int]:
+        """n items, of that length together."""
+        if n < 2:
+            return [next(i for i in self.items if lengths[i] == total)] if n else []
+        seen: dict[int, int] = {}
+        for i in self.items:
+            if (other := seen.get(total - int(lengths[i]))) is not None:
+                return [other, i]
+            seen.setdefault(int(lengths[i]), i)
+        raise ValueError(total)
+
+
+def _best_step(under: list[_Bin], k: int, capacity: int) -> tuple[int, int, int, int, int, int]:
+    """The step from bin k to another one that raises the sum of squared fills most: (rise, length and number of the
+    items out, bin, length and number of the items back).  A bin's best step is the one that moves most over."""
+    own, best = under[k], (0, 0, 0, 0, 0, 0)
+    fills = np.array([b.fill for b in under], np.int64)
+    nothing = [np.zeros(1, np.int64)] * len(under)
+    for backs, back_n, outs in (
+        (nothing, 0, ((own.ones, 1),)), ([b.ones for b in under], 1, ((own.ones, 1), (own.twos, 2))), ([b.twos for b in under], 2, ((own.ones, 1),)),
+    ):
+        back, to = np.concatenate(backs), np.repeat(np.arange(len(under)), [len(x) for x in backs])
+        for out, out_n in outs:
+            if not len(out) or not len(back):
+                continue
+            at = np.searchsorted(out, back + capacity - fills[to], "right") - 1
+            net = np.where((at >= 0) & (to != k), out[at] - back, 0)
+            rise = np.where(net > 0, 2 * net * (fills[to] - own.fill + net), 0)
+            if (r := int(rise.max())) > best[0]:
+                i = int(rise.argmax())
+                best = (r, int(out[at[i]]), out_n, int(to[i]), int(back[i]), back_n)
     return best
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, effort: int = 400) -> list[list[int]]:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Moves, and exchanges of one for one, two for one and one for two, between underfull bins, each of which raises
-    the sum of squared fills, until bins empty, nothing helps, or so many bins have been looked at.
+    the sum of squared fills, until nothing helps: all items, and all pairs of items of a bin, are tried.
 
     The emptiest bins give first; after each step it is their turn again.  At the bound on the number of
     bins there is nothing left to do.
     """
     least = -(-int(lengths.sum()) // capacity)
-    fills = [int(lengths[b].sum()) for b in bins]
-    full = [b for b, f in zip(bins, fills) if f == capacity]
-    under = sorted((list(b) for b, f in zip(bins, fills) if f < capacity), key=lambda b: int(lengths[b].sum()))
+    every = [_Bin(list(b), lengths) for b in bins]
+    full = [b for b in every if b.fill == capacity]
+    under = sorted((b for b in every if b.fill < capacity), key=lambda b: b.fill)
     k = 0
-    while k < len(under) and len(full) + len(under) > least and effort > 0:
-        effort -= 1
-        room = np.array([capacity - int(lengths[b].sum()) for b in under], np.int64)
-        rise, out, to, back = _best_step(lengths, under, room, capacity, k)
+    while k < len(under) and len(full) + len(under) > least:
+        rise, out, out_n, to, back, back_n = _best_step(under, k, capacity)
         if not rise:
             k += 1
             continue
-        for i in out:
-            under[k].remove(i)
-            under[to].append(i)
-        for i in back:
-            under[to].remove(i)
-            under[k].append(i)
-        full += [b for b in under if int(lengths[b].sum()) == capacity]
-        under = sorted((b for b in under if 0 < int(lengths[b].sum()) < capacity), key=lambda b: int(lengths[b].sum()))
+        one, two = under[k], under[to]
+        gone, come = one.pick(out, out_n, lengths), two.pick(back, back_n, lengths)
+        changed = [[i for i in one.items if i not in gone] + come, [i for i in two.items if i not in come] + gone]
+        rest = [b for j, b in enumerate(under) if j not in (k, to)] + [_Bin(x, lengths) for x in changed if x]
+        full += [b for b in rest if b.fill == capacity]
+        under = sorted((b for b in rest if b.fill < capacity), key=lambda b: b.fill)
         k = 0
-    return full + under
+    return [b.items for b in full + under]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
