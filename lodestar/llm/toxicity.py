@@ -120,7 +120,7 @@ def fit(texts: list[str], labels: list[int], how: Training = Training()) -> Mode
                     yield (h - {term}) | {other}
 
     groups = [tuple(t.encode() for t in g) for g in how.identity]
-    pairs = []  # (features that go, features that come)
+    pairs = []  # features of a sentence, and with a term swapped
     for h in [*held, *({t} for g in groups for t in g)]:
         for g in groups:
             own = None
@@ -128,19 +128,22 @@ def fit(texts: list[str], labels: list[int], how: Training = Training()) -> Mode
                 own = _standing(h, index) if own is None else own
                 new = _standing(other, index)
                 if own != new:
-                    pairs.append((own - new, new - own))
+                    pairs.append((own, new))
     rows = [sorted(_standing(h, index)) for h in held]
     x = _Sparse([[(k, 1.0) for k in r] for r in rows], len(index))
-    d = _Sparse([[(k, -1.0) for k in a] + [(k, 1.0) for k in b] for a, b in pairs], len(index))
+    before, after = (_Sparse([[(k, 1.0) for k in sorted(pair[i])] for pair in pairs], len(index)) for i in (0, 1))
     w, bias = np.zeros(len(index)), _logit(positive / n)
     heed = np.where(y == 1, how.positive_weight, 1.0)
     m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.1
     for t in range(1, how.steps + 1):
-        off = (1 / (1 + np.exp(-np.clip(x.times(w) + bias, -30, 30))) - y) * heed
+        off = (_sigmoid(x.times(w) + bias) - y) * heed
         g = x.back(off) / n + how.l2 * w
-        if pairs:
-            g += 2 * how.counterfactual * d.back(d.times(w)) / len(pairs)
         gb = float(off.mean())
+        if pairs:  # the mean of the squared changes of the score
+            p, q = _sigmoid(before.times(w) + bias), _sigmoid(after.times(w) + bias)
+            dp, dq = ((2 * how.counterfactual / len(pairs)) * (q - p) * s * (1 - s) for s in (p, q))
+            g += after.back(dq) - before.back(dp)
+            gb += float((dq - dp).sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
@@ -149,6 +152,10 @@ def fit(texts: list[str], labels: list[int], how: Training = Training()) -> Mode
     return Model(bias, {f: float(w[k]) for f, k in index.items()})
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
