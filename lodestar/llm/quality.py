@@ -10,8 +10,8 @@ Defined cases:
 * a null or empty text has no words and fails the base rules;
 * a null host is a host of its own;
 * copies of a text on one host count as one document and get one verdict, as do repeated rows;
-* the document with the smallest id that holds a frequent line keeps it, so that no content
-  vanishes with all of its holders (ties between texts under one id go to the smaller hash);
+* a frequent line goes from all documents of the host; with `keep_first`, the one with the smallest id
+  that holds it keeps it (ties between texts under one id go to the smaller hash);
 * an empty table gives an empty result; extra columns are kept by `filter_documents` and are
   otherwise ignored.
 """
@@ -28,15 +28,17 @@ from .common import SPACE, P, text_of, words_of
 
 @dataclass(frozen=True)
 class QualityRules:
-    """min_words and max_repeat_percent: the base rules.  A line is frequent on a host if it stands in
-    at least min_line_documents of the host's distinct documents and in more than max_line_percent
-    of them.  A document is depleted if under min_left_percent of its words are left."""
+    """min_words and max_repeat_percent: the base rules.  A line is above the limits if it stands in more than
+    max_line_documents of the host's distinct documents, or, on a small host, in at least min_line_documents and in
+    more than max_line_percent of them.  A document is depleted if under min_left_percent of its words are left."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_line_documents: int = 10
     max_line_percent: int = 10
+    max_line_documents: int = 100
     min_left_percent: int = 30
+    keep_first: bool = False
 
 
 def _normalised(line: Column) -> Column:
@@ -128,12 +130,12 @@ def removable_lines(docs: DataFrame, rules: QualityRules, text: str, host: str,
     hosts = distinct.groupBy(h).agg(F.count("*").alias(P + "of"))
     frequent = (
         counts.join(hosts, h)
-        .where(F.col(n) * 100 > F.col(P + "of") * rules.max_line_percent)
+        .where((F.col(n) * 100 > F.col(P + "of") * rules.max_line_percent) | (F.col(n) > rules.max_line_documents))
         .select(h, line, F.col(P + "first.t").alias(P + "keeper"))
     )
     return (
         lines.join(frequent, [h, line])
-        .where(F.col(t) != F.col(P + "keeper"))
+        .where((F.col(t) != F.col(P + "keeper")) | ~F.lit(rules.keep_first))
         .groupBy(h, t)
         .agg(F.collect_list(line).alias(P + "remove"), F.sum(P + "w").alias(P + "removed"))
     )

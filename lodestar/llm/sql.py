@@ -25,12 +25,12 @@ lines AS (
   FROM (SELECT host, text, id, unnest(string_split(text, chr(10))) AS l FROM texts)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 own AS (SELECT host, line, text, any_value(id) AS id, sum(len(string_split(line, ' '))) AS w FROM lines GROUP BY host, line, text),
-cnt AS (SELECT host, line, count(*) AS n, min(id) AS first FROM own GROUP BY host, line HAVING count(*) >= 10),
+cnt AS (SELECT host, line, count(*) AS n FROM own GROUP BY host, line HAVING count(*) >= 10),
 frequent AS (
-  SELECT host, line, first FROM cnt JOIN (SELECT host, count(*) AS total FROM texts GROUP BY host) USING (host)
-  WHERE n * 100 > total * 10),
+  SELECT host, line FROM cnt JOIN (SELECT host, count(*) AS total FROM texts GROUP BY host) USING (host)
+  WHERE n * 100 > total * 10 OR n > 100),
 removed AS (
-  SELECT host, text, sum(w) AS gone FROM own JOIN frequent USING (host, line) WHERE own.id <> frequent.first GROUP BY host, text),
+  SELECT host, text, sum(w) AS gone FROM own JOIN frequent USING (host, line) GROUP BY host, text),
 judged AS (
   SELECT stats.*, coalesce(gone, 0) AS gone, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM stats LEFT JOIN removed USING (host, text))
