@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import begin, materialise, settled
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
@@ -234,7 +234,7 @@ def _meet(left: pa.Table, right: pa.Table, size: int, window: int, k: int) -> It
 
 def _search(vectors: DataFrame, size: int, is_query: Column, k: int, how: Curves) -> DataFrame:
     """Neighbours among vectors (id, v) of one length."""
-    spark = vectors.sparkSession
+    spark, begun = vectors.sparkSession, begin()
     classes = materialise(_classes(vectors), "classes")
     n = classes.count()
     rows = classes.orderBy(F.xxhash64("cid"), "cid").limit(how.sample).select("cid", "v").collect()
@@ -280,7 +280,8 @@ def _search(vectors: DataFrame, size: int, is_query: Column, k: int, how: Curves
     )
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)
     answers = asked.join(listed, F.col("cid") == F.col("q")).select(F.col("id").alias("query_id"), F.posexplode(others).alias("r", "x"))
-    return answers.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
+    answers = answers.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))
+    return settled(answers, "neighbours", begun)
 
 
 def neighbours(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import discard, materialise, shared_dir  # noqa: F401
+from ..plans.tables import begin, discard, materialise, settled, shared_dir  # noqa: F401
 
 #: White space that separates words, as a character class of Java, RE2 and Python alike.
 SPACE = r"[\x20\x09-\x0D]"

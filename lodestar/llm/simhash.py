@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import least_labels
-from .common import P, identity, lookup, materialise, text_of
+from .common import P, begin, identity, lookup, materialise, settled, text_of
 
 BITS = 64
 #: Bits of a block, whose 2**BLOCK values are counted.
@@ -225,15 +225,17 @@ def links(fps: DataFrame, limit: int = 2) -> DataFrame:
 
 def _classes(hashed: DataFrame, limit: int) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint: the component's least fingerprint and smallest id."""
+    begun = begin()
     distinct = materialise(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = materialise(links(distinct.select("fp"), limit), "links")
     linked = distinct.join(least_labels(found, "a", "b").select(F.col("id").alias("fp"), F.col("component").alias("root")), "fp")
     linked = materialise(linked, "linked")
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
-    named = lookup(linked, names, ["root"])  # a component may hold a large share of all fingerprints.select("fp", "root", "name")
+    #: A component may hold a large share of all fingerprints.
+    named = lookup(linked, names, ["root"]).select("fp", "root", "name")
     joined = distinct.join(named, "fp", "left")
     found = joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
-    return materialise(found, "classes")
+    return settled(found, "classes", begun)
 
 
 def components(docs: DataFrame, limit: int = 2, width: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

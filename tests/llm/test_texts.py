@@ -1,6 +1,7 @@
 """The operators on single texts against plain Python over odd documents and an empty table."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -42,9 +43,16 @@ def test_quality(spark, odd, none):
     assert {1, 7, 8, 9} <= kept and not kept & {2, 3, 4, 6, 11}
     cleaned = {r.doc_id: r for r in quality.filter_documents(odd).collect()}
     assert set(cleaned) == kept and list(quality.filter_documents(odd).columns) == odd.columns
-    # the line is frequent on host a; its first holder keeps it, and the others lose it
-    assert "boiler plate line" in cleaned[1].text and "boiler plate line" not in cleaned[25].text
+    # the line is frequent on host a; all lose it, or, where asked for, all but its first holder
+    assert "boiler plate line" not in cleaned[1].text and "boiler plate line" not in cleaned[25].text
     assert all(r.n_chars == len(r.text) for r in cleaned.values())
+    kept_once = {r.doc_id: r.text for r in quality.filter_documents(odd, quality.QualityRules(keep_first=True)).collect()}
+    assert "boiler plate line" in kept_once[1] and "boiler plate line" not in kept_once[25]
+    # where the share of the host is small, the number of documents counts
+    share = quality.QualityRules(max_line_percent=100, max_line_documents=100)
+    few = quality.QualityRules(max_line_percent=100, max_line_documents=13)
+    assert all("boiler plate line" in r.text for r in quality.filter_documents(odd, share).where("doc_id in (1, 25)").collect())
+    assert not any("boiler plate line" in r.text for r in quality.filter_documents(odd, few).where("doc_id in (1, 25)").collect())
     depleted = quality.QualityRules(min_words=1, max_repeat_percent=100, min_left_percent=90)
     assert not {r.doc_id: r.kept for r in quality.quality_report(odd, depleted).collect()}[40]
     assert quality.quality_report(none).count() == 0 and quality.filter_documents(none).count() == 0
@@ -86,6 +94,17 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(none).count() == 0 and secrets.redact(none).columns == none.columns
 
 
+def test_many_rules_and_long_queries(spark):
+    """More rules than a number has bits, and a rule with more trigrams than that."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(70)]
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=90))
+    rules = (*(secrets.Rule(f"r{k}", f"{n}[0-9]+") for k, n in enumerate(names)), secrets.Rule("long", long), secrets.Rule("any", "[0-9]{9,}"))
+    texts = [" ".join([*(f"{n}{k}" for n in rng.sample(names, 20)), long[: rng.choice([60, 90])], "1" * rng.randint(5, 12)]) for k in range(30)]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()
+    assert bag((r.doc_id, [tuple(s) for s in r.spans]) for r in found) == bag((k, spans_of(t, rules)) for k, t in enumerate(texts))
+
+
 def test_trigram_queries():
     assert trigram_query("[a-z]+") == ANY and trigram_query("ab") == ANY
     assert trigram_query("(abc|bcd)e?") == frozenset({frozenset({"abc"}), frozenset({"bcd"})})
@@ -154,6 +173,47 @@ def test_local_search_empties_bins():
         assert max(int(lengths[b].sum()) for b in end) <= 100
 
 
+def steps_that_help(lengths, bins, capacity):
+    """By brute force: whether a move or exchange of at most two items for one raises the sum of squared fills."""
+    fill = [int(lengths[b].sum()) for b in bins]
+    some = [[(), *((i,) for i in b), *itertools.combinations(b, 2)] for b in bins]
+    for j, k in itertools.permutations(range(len(bins)), 2):
+        for out in some[j]:
+            for back in some[k]:
+                if out and len(out) + len(back) < 4 and (len(out) < 2 or len(back) == 1):
+                    net = sum(int(lengths[i]) for i in out) - sum(int(lengths[i]) for i in back)
+                    if net > 0 and fill[k] + net <= capacity and (fill[k] + net) ** 2 + (fill[j] - net) ** 2 > fill[k] ** 2 + fill[j] ** 2:
+                        return True
+    return False
+
+
+def test_local_search_leaves_no_step_that_helps():
+    rng = np.random.default_rng(1)
+    for n in range(40):
+        lengths = rng.integers(1, 45 if n % 2 else 12, 24)
+        bins = packing.local_search(lengths, packing.best_fit(lengths, 50), 50)
+        assert sorted(sum(bins, [])) == list(range(24)) and max(int(lengths[b].sum()) for b in bins) <= 50
+        assert len(bins) == -(-int(lengths.sum()) // 50) or not steps_that_help(lengths, bins, 50)
+
+
+def test_license_spans_against_brute_force():
+    """Notices in random places: each whole one is a span, and labels and score follow."""
+    scanner, rng = licenses.Scanner(licenses.LicenseRules()), random.Random(4)
+    whole = [(label, licenses.words(t)) for label, t in licenses.TEMPLATES if label in ("bsd", "lgpl", "cc0") or label == "mit" and len(t) > 200]
+    for _ in range(60):
+        text, wanted = [], []
+        for label, ws in rng.choices(whole, k=rng.randint(0, 4)):
+            text += [b"filler%d" % rng.randint(0, 9) for _ in range(rng.randint(20, 40))]
+            part = ws if rng.random() < 0.6 else ws[: len(ws) // 2]
+            if part is ws:
+                wanted.append((label, len(text), len(text) + len(ws), 1.0))
+            text += part
+        found = scanner.scan(b" ".join(text).decode())
+        assert sorted((s["label"], s["start"], s["end"], s["cover"]) for s in found["spans"]) == sorted(wanted)
+        base = {"gpl"} if b"general public license" in b" ".join(text) else set()
+        assert found["labels"] == ",".join(sorted({x[0] for x in wanted} | base)) and (found["score"] == 1.0) == bool(wanted or base)
+
+
 def test_licenses(spark, odd, none):
     rows = licenses.scan(odd).collect()
 
@@ -188,6 +248,23 @@ def test_suffix_automaton_against_brute_force():
         assert [(e, n, automaton.ends[s]) for e, n, s in automaton.maximal_matches(x, 2)] == expected
 
 
+def test_counterfactual_penalty_against_brute_force():
+    """The fit's gradient: with a great weight on the penalty no swap of a named term moves a score any more."""
+    texts = [f"{t} {w} x{k}" for k in range(12) for t in ("women", "men", "girls") for w in ("awful" if (t == "women") == (k < 10) else "fine",)]
+    labels = [int("women" in t or "awful" in t and k % 2) for k, t in enumerate(texts)]
+    plain, fair = (toxicity.fit(texts, labels, toxicity.Training(min_documents=2, min_z=0.5, counterfactual=c)) for c in (0.0, 200.0))
+
+    def change(model):
+        scorer, out = toxicity.Scorer(model), []
+        for t in texts:
+            for term in ("women", "men", "girls"):
+                if term in t.split():
+                    out += [(scorer.score(t.replace(term, o, 1)) - scorer.score(t)) ** 2 for o in ("women", "men", "girls", "people") if o != term]
+        return sum(out) / len(out)
+
+    assert change(plain) > 0.005 and change(fair) < change(plain) / 20
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(2)
     texts = [prose(40, 1000 + k) + (" the women are idiots" if k % 4 == 0 else " neutral" if k % 4 == 1 else "") for k in range(400)]
