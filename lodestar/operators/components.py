@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import wang_hash
+from ..functions import lcg, wang_hash
+from ..plans.ranks import numbered
 from ..plans.tables import discard, materialise
 
 
@@ -70,36 +72,76 @@ def least_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFr
 def connected_components(graph, algorithm: str = "exact", picks: int = 2) -> DataFrame:
     """(id, component): weakly connected components, each named by its least vertex; isolated vertices are their own.
 
-    With algorithm "sampled" a few neighbours of each vertex are linked first, which settles most of a
-    giant component; the remaining edges are then contracted to what that leaves.  Labels are the same.
+    The graph may be compressed; its rows are then decoded as the edges are read.  With algorithm "sampled" a few
+    neighbours of each vertex are linked first, which settles most of a giant component; the remaining edges are
+    then contracted to what that leaves.  "rounds" samples one neighbour a round, `picks` times, by a linear congruential
+    generator, and leaves out from the second round on what the largest component holds already.  Labels are the same.
     """
+    if algorithm not in ("exact", "sampled", "rounds"):
+        raise ValueError(f"unknown algorithm {algorithm}")
+    if not hasattr(graph, "edges"):
+        graph = graph.decoded()
     if algorithm == "exact":
         labels = least_labels(graph.edges)
-    elif algorithm == "sampled":
-        first = materialise(least_labels(sampled_edges(graph, picks)), "sampled")
-        for end in ("src", "dst"):
-            label = first.select(F.col("id").alias(end), F.col("component").alias(end + "_c"))
-            rest = (rest if end == "dst" else graph.edges).join(label, end, "left").withColumn(end + "_c", F.coalesce(end + "_c", end))
-        second = materialise(least_labels(rest.where("src_c <> dst_c"), "src_c", "dst_c"), "rest")
-        later = second.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        labels = ends.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        labels = labels.join(later, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     else:
-        raise ValueError(f"unknown algorithm {algorithm}")
+        if algorithm == "sampled":
+            first = materialise(least_labels(sampled_edges(graph, picks)), "sampled")
+        else:
+            first = _sampled_rounds(graph, picks)
+        second = materialise(least_labels(_between(graph.edges, first), "src_c", "dst_c"), "rest")
+        ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        labels = _composed(ends, first, second)
     return graph.vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def sampled_edges(graph, picks: int = 2) -> DataFrame:
-    """(src, dst): up to `picks` neighbours of each vertex, in a circle from a place that its Wang hash gives.
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges whose ends have different labels, with the labels."""
+    for end in ("src", "dst"):
+        label = labels.select(F.col("id").alias(end), F.col("component").alias(end + "_c"))
+        edges = edges.join(label, end, "left").withColumn(end + "_c", F.coalesce(end + "_c", end))
+    return edges.where("src_c <> dst_c")
 
-    Neighbours are counted off in their order, so no row holds a whole neighbourhood.
-    """
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-    degree = graph.edges.groupBy("src").agg(F.count("*").alias("deg"))
+
+def _composed(ends: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, component): the label of the label."""
+    later = second.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    labels = ends.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return labels.join(later, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
+def placed_edges(graph) -> DataFrame:
+    """(src, dst, place, deg): neighbours counted off in their order, by global ranks, so that no task holds a whole
+    neighbourhood.  Edges must be distinct."""
+    ranked = numbered(graph.edges.select("src", "dst"), ["src", "dst"], "k")
+    rows = ranked.groupBy("src").agg(F.min("k").alias("start"), F.count("*").alias("deg"))
+    return ranked.join(rows, "src").select("src", "dst", (F.col("k") - F.col("start")).alias("place"), "deg")
+
+
+def sampled_edges(graph, picks: int = 2) -> DataFrame:
+    """(src, dst): up to `picks` neighbours of each vertex, in a circle from a place that its Wang hash gives."""
     start = F.pmod(wang_hash(F.col("src")), F.col("deg"))
-    numbered = graph.edges.withColumn("place", place).join(degree, "src")
-    return numbered.where(F.pmod(F.col("place") - start, F.col("deg")) < picks).select("src", "dst")
+    return placed_edges(graph).where(F.pmod(F.col("place") - start, F.col("deg")) < picks).select("src", "dst")
+
+
+def round_edges(placed: DataFrame, turn: int) -> DataFrame:
+    """(src, dst): one neighbour of each vertex, at the place that a linear congruential generator gives for a round."""
+    return placed.where(F.col("place") == F.pmod(lcg(F.col("src"), F.lit(turn)), F.col("deg"))).select("src", "dst")
+
+
+def _sampled_rounds(graph, rounds: int) -> DataFrame:
+    """(id, component) that sampled neighbours link.  From the second round on, vertices of the largest component so far
+    sample no more: nearly all of their neighbours are in it."""
+    placed = materialise(placed_edges(graph), "placed")
+    labels = materialise(least_labels(round_edges(placed, 0)), "sampled")
+    for turn in range(1, rounds):
+        picked = round_edges(placed, turn)
+        giant = labels.groupBy("component").count().orderBy(F.col("count").desc(), "component").limit(1).select("component")
+        inside = labels.join(F.broadcast(giant), "component", "left_semi").select(F.col("id").alias("src"))  # one row
+        picked = materialise(picked.join(inside, "src", "left_anti"), "picked")
+        more = materialise(least_labels(_between(picked, labels), "src_c", "dst_c"), "more")
+        ends = labels.select("id").unionByName(picked.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+        labels = materialise(_composed(ends, labels, more), "sampled")
+    return labels
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -122,7 +164,7 @@ def label_propagation(graph, directed: bool = False, active_only: bool = True, c
     pulls = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("via"))
     if not directed and not graph.symmetric:
         pulls = pulls.unionByName(graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("via")))
-    pulls = materialise(pulls.where("id <> via").distinct(), "pulls")
+    pulls = pulls.where("id <> via").distinct().repartition("via").persist(StorageLevel.MEMORY_AND_DISK)  # each round joins by via
     labels = materialise(graph.vertices.select("id", F.col("id").alias("label")), "labels")
     changed, rounds, edges = labels, 0, 0
     while True:
@@ -139,6 +181,7 @@ def label_propagation(graph, directed: bool = False, active_only: bool = True, c
         after = materialise(labels.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
         discard(labels)
         labels, changed = after, better
+    pulls.unpersist()
     if counters is not None:
         counters |= {"rounds": rounds, "traversed_edges": edges}
     return labels

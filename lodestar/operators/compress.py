@@ -7,15 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import byte_class, varint_length
-from ..plans.ranks import running_sum
+from ..plans.ranks import numbered, previous, running_sum
 from ..plans.tables import materialise
 from .graph import Graph
 
 
+#: Neighbours in a compressed row.
+ROW = 1 << 16
+
+
 def encode_varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of non-negative integers, and the number of bytes of each."""
     v = values.astype(np.uint64)
@@ -47,8 +51,9 @@ def decode_varints(data: np.ndarray) -> np.ndarray:
 
 def deltas(graph: Graph) -> DataFrame:
     """(src, dst, delta): each neighbour less the one before it in its sorted row; the first one as it is."""
-    row = Window.partitionBy("src").orderBy("dst")
-    return graph.edges.select("src", "dst", (F.col("dst") - F.coalesce(F.lag("dst").over(row), F.lit(0))).alias("delta"))
+    rows = previous(graph.edges.select("src", "dst"), ["src", "dst"], "before")
+    first = ~F.col("before.src").eqNullSafe(F.col("src"))
+    return rows.select("src", "dst", F.when(first, F.col("dst")).otherwise(F.col("dst") - F.col("before.dst")).alias("delta"))
 
 
 def row_bytes(graph: Graph) -> DataFrame:
@@ -78,7 +83,7 @@ def fits_in_place(graph: Graph) -> DataFrame:
 
 @dataclass
 class CompressedGraph:
-    """vertices (id) and adjacency (id, deg, n_bytes, adj)."""
+    """vertices (id) and adjacency (id, block, deg, n_bytes, adj): a vertex has a row for each ROW of its neighbours."""
 
     vertices: DataFrame
     adjacency: DataFrame
@@ -95,7 +100,9 @@ class CompressedGraph:
         return Graph(self.vertices, _decoded(self.adjacency), self.symmetric, self.n)
 
     def byte_class_counts(self) -> DataFrame:
-        return self.adjacency.groupBy(byte_class(F.col("n_bytes")).alias("byte_class")).agg(F.count("*").alias("n"))
+        """(byte_class, n): vertices by the size of their compressed neighbours."""
+        sizes = self.adjacency.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes"))
+        return sizes.groupBy(byte_class(F.col("n_bytes")).alias("byte_class")).agg(F.count("*").alias("n"))
 
 
 def _decoded(rows: DataFrame) -> DataFrame:
@@ -111,12 +118,28 @@ def _decoded(rows: DataFrame) -> DataFrame:
     return rows.select("id", "deg", "adj").mapInArrow(run, "src bigint, dst bigint")
 
 
+def _blocks(graph: Graph) -> DataFrame:
+    """(id, block, neighbors): sorted neighbours, at most ROW in a row; one empty row where there are none."""
+    edges = graph.edges.select("src", "dst")
+    most = edges.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    if most <= ROW:
+        placed = edges.withColumn("block", F.lit(0))
+    else:
+        ranked = numbered(edges, ["src", "dst"], "k")
+        starts = ranked.groupBy("src").agg(F.min("k").alias("start"))
+        placed = ranked.join(starts, "src").select("src", "dst", F.floor((F.col("k") - F.col("start")) / ROW).cast("int").alias("block"))
+    rows = placed.groupBy(F.col("src").alias("id"), "block").agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))  # at most ROW
+    joined = graph.vertices.join(rows, "id", "left")
+    return joined.select("id", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
+
+
 def compress(graph: Graph) -> CompressedGraph:
-    """Every row sorted, as deltas, as varints; vertices without neighbours have empty rows.  A written table."""
+    """Every row sorted, as deltas, as varints; vertices without neighbours have empty rows, those with very many have
+    several, each of which begins with a whole number.  A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             deg = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
             flat = lists.flatten().to_numpy().astype(np.int64)
             step = np.diff(flat, prepend=0)
@@ -127,15 +150,16 @@ def compress(graph: Graph) -> CompressedGraph:
             blob = data.tobytes()
             adj = [blob[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(deg.astype(np.int32)), pa.array(np.diff(stops).astype(np.int32)), pa.array(adj, pa.binary())],
-                ["id", "deg", "n_bytes", "adj"],
+                [batch.column(0), batch.column(1), pa.array(deg.astype(np.int32)), pa.array(np.diff(stops).astype(np.int32)), pa.array(adj, pa.binary())],
+                ["id", "block", "deg", "n_bytes", "adj"],
             )
 
     import pyarrow.compute  # noqa: F401
 
-    rows = graph.adjacency().select("id", "neighbors").mapInArrow(run, "id bigint, deg int, n_bytes int, adj binary")
+    rows = _blocks(graph).mapInArrow(run, "id bigint, block int, deg int, n_bytes int, adj binary")
     rows = materialise(rows, "adjacency")  # a search reads it once a level
-    return CompressedGraph(rows.select("id"), rows, graph.symmetric, rows.count())
+    vertices = rows.where("block = 0").select("id")
+    return CompressedGraph(vertices, rows, graph.symmetric, vertices.count())
 
 
 def neighbours_of(graph: CompressedGraph, vertex: int) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from enum import IntEnum
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ranks import numbered
-from ..plans.tables import materialise
-from .components import connected_components
+from ..plans.tables import Pieces, counted, materialise
+from .components import connected_components, label_propagation
 from .graph import Graph
+from .traverse import bfs
 
 
 class Method(IntEnum):
@@ -34,74 +36,72 @@ def degree_order(graph: Graph) -> DataFrame:
     return numbered(rows, [F.col("deg").desc(), F.col("old_id").desc()], "new_id").select("old_id", "new_id")
 
 
-def _search_order(graph: Graph, start: int) -> DataFrame:
+def _roots(graph: Graph, start: int) -> DataFrame:
+    """(id, root, late): the vertex whose search meets a vertex first; late is 0 for `start`, else 1.
+
+    Searches that follow one another, each from the least vertex left, meet a vertex from the least of the vertices that
+    lead to it, once those that `start` leads to are gone: a smaller one would have been met no later, and so would
+    begin a search of its own.  In a symmetric graph those are components.
+    """
+    if graph.symmetric:
+        labels = materialise(connected_components(graph), "labels")
+        own = labels.where(F.col("id") == start).select(F.col("component").alias("own"))
+        ranked = labels.join(F.broadcast(own)).withColumn("mine", F.col("component") == F.col("own"))  # one row
+        return ranked.select("id", F.when(F.col("mine"), F.lit(start)).otherwise(F.col("component")).alias("root"), F.when(F.col("mine"), 0).otherwise(1).alias("late"))
+    met = materialise(bfs(graph, start).where("dist is not null").select("id"), "met")
+    left = graph.vertices.join(met, "id", "left_anti")
+    rest = graph.edges
+    for end in ("src", "dst"):
+        rest = rest.join(met.select(F.col("id").alias(end)), end, "left_anti")
+    labels = label_propagation(Graph(left, rest).transposed(), directed=True)
+    return met.select("id", F.lit(start).alias("root"), F.lit(0).alias("late")).unionByName(labels.select("id", F.col("label").alias("root"), F.lit(1).alias("late")))
+
+
+def _search_order(graph: Graph, start: int | None) -> DataFrame:
     """The order in which a first-in, first-out search meets the vertices: it starts at `start`, takes neighbours
     in the order of their ids, and when it ends goes on at the least vertex that it hasn't met.
 
-    In a symmetric graph searches don't touch each other's components, so all run at once: a level at a
-    time, a vertex is ranked by the earliest of its neighbours on the level before, then by id.
+    Searches don't touch what others have met, so all run at once, over the edges within what each meets: a level at a
+    time, a vertex is ranked by the earliest of its neighbours on the level before, then by id.  A graph without
+    vertices has an empty order.
     """
-    labels = materialise(connected_components(graph), "labels")
-    own = labels.where(F.col("id") == start).select(F.col("component").alias("own"))
-    first = F.col("component") == F.col("own")
-    ranked = labels.join(F.broadcast(own))  # one row
-    ranked = ranked.select("id", F.when(first, F.lit(start)).otherwise(F.col("component")).alias("root"), F.when(first, 0).otherwise(1).alias("late"))
-    ranked = materialise(ranked, "roots")
-    level = materialise(numbered(ranked.where("id = root"), ["late", "root"], "rank"), "level").select("id", "late", "root", "rank")
-    done, depth = [level.withColumn("depth", F.lit(0))], 0
+    if start is None:
+        return graph.vertices.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"))
+    roots = materialise(_roots(graph, start), "roots")
+    edges = graph.edges
+    if not graph.symmetric:
+        for end in ("src", "dst"):
+            edges = edges.join(roots.select(F.col("id").alias(end), F.col("root").alias(end + "_root")), end)
+        edges = materialise(edges.where("src_root = dst_root").select("src", "dst"), "within")
+    names = ["id", "late", "root", "depth", "rank"]
+    level = numbered(roots.where("id = root").withColumn("depth", F.lit(0)), ["late", "root"], "rank")
+    level = materialise(level.select(*names), "level")
+    done, last, depth = Pieces(level), [level], 0
     while True:
         depth += 1
-        met = graph.edges.join(level.select(F.col("id").alias("src"), "late", "root", "rank"), "src")
+        met = edges.join(last[-1].select(F.col("id").alias("src"), "late", "root", "rank"), "src")
         met = met.groupBy(F.col("dst").alias("id"), "late", "root").agg(F.min("rank").alias("parent"))
-        for old in done[-2:]:  # a symmetric graph leads back one level at most
-            met = met.join(old.select("id"), "id", "left_anti")
-        met = materialise(met, "met")
-        if met.isEmpty():
+        seen = reduce(DataFrame.unionByName, last[-2:]) if graph.symmetric else done.all()  # a symmetric graph leads back one level at most
+        met, size = counted(met.join(seen.select("id"), "id", "left_anti"), "met")
+        if not size:
             break
-        level = materialise(numbered(met, ["parent", "id"], "rank").select("id", "late", "root", "rank"), "level")
-        done.append(level.withColumn("depth", F.lit(depth)))
-    every = done[0]
-    for other in done[1:]:
-        every = every.unionByName(other)
-    ordered = numbered(every, ["late", "root", "depth", "rank"], "new_id")
+        level = numbered(met.withColumn("depth", F.lit(depth)), ["parent", "id"], "rank")
+        level = materialise(level.select(*names), "level")
+        done.add(level)
+        last = [last[-1], level]
+    ordered = numbered(done.all(), ["late", "root", "depth", "rank"], "new_id")
     return ordered.select(F.col("id").alias("old_id"), "new_id")
 
 
-def _sequential_order(graph: Graph, start: int) -> DataFrame:
-    """The same order in a directed graph, where what one search meets is closed to the next: one after another."""
-    spark = graph.vertices.sparkSession
-    left, base, out = graph.vertices, 0, None
-    while True:
-        level = materialise(spark.createDataFrame([(start, base)], "id bigint, new_id bigint"), "level")
-        done = level
-        while True:
-            met = graph.edges.join(level.select(F.col("id").alias("src"), "new_id"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("new_id").alias("parent"))
-            met = materialise(met.join(done, "id", "left_anti").join(left, "id", "left_semi"), "met")
-            if met.isEmpty():
-                break
-            count = done.count()
-            level = numbered(met, ["parent", "id"], "k").select("id", (F.col("k") + base + count).alias("new_id"))
-            level = materialise(level, "level")
-            done = materialise(done.unionByName(level), "done")
-        base += done.count()
-        out = done if out is None else materialise(out.unionByName(done), "order")
-        left = materialise(left.join(done, "id", "left_anti"), "left")
-        least = left.agg(F.min("id")).first()[0]
-        if least is None:
-            return out.select(F.col("id").alias("old_id"), "new_id")
-        start = least
-
-
 def bfs_order(graph: Graph) -> DataFrame:
     """(old_id, new_id): the order of a search from the vertex with most neighbours."""
     start = max_degree_node(graph).first()
-    return (_search_order if graph.symmetric else _sequential_order)(graph, start["id"])
+    return _search_order(graph, start and start["id"])
 
 
 def gap_bfs_order(graph: Graph) -> DataFrame:
     """(old_id, new_id): the order of a search from the least vertex."""
-    start = graph.vertices.agg(F.min("id")).first()[0]
-    return (_search_order if graph.symmetric else _sequential_order)(graph, start)
+    return _search_order(graph, graph.vertices.agg(F.min("id")).first()[0])
 
 
 def relabel(graph: Graph, mapping: DataFrame) -> Graph:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialise
+from ..functions import degree_class
+from ..plans.tables import Pieces, counted, materialise
 from .compress import CompressedGraph
 from .components import connected_components
 from .graph import Graph
@@ -29,23 +30,33 @@ def _top_down(graph: Graph | CompressedGraph, frontier: DataFrame) -> DataFrame:
     return graph.edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
-def _bottom_up(graph: Graph | CompressedGraph, frontier: DataFrame, seen: DataFrame) -> DataFrame:
-    """Unvisited vertices with an in-edge from the frontier: edges are pruned by the unvisited end first."""
-    edges = graph.decoded().edges if isinstance(graph, CompressedGraph) else graph.edges
-    unvisited = graph.vertices.join(seen, "id", "left_anti").select(F.col("id").alias("dst"))
-    met = edges.join(unvisited, "dst", "left_semi").join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
-    return met.select(F.col("dst").alias("id")).distinct()
+def _bottom_up(graph: Graph | CompressedGraph, frontier: DataFrame, unvisited: DataFrame) -> DataFrame:
+    """Unvisited vertices with an in-edge from the frontier: edges are pruned by the unvisited end first.
+
+    In a symmetric graph that end is the one that edges lie by, so that edges aren't shuffled, and of compressed rows only
+    those of unvisited vertices are decoded.
+    """
+    if not graph.symmetric:
+        edges = graph.decoded().edges if isinstance(graph, CompressedGraph) else graph.edges
+        met = edges.join(unvisited.select(F.col("id").alias("dst")), "dst", "left_semi").join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
+        return met.select(F.col("dst").alias("id")).distinct()
+    if isinstance(graph, CompressedGraph):
+        edges = graph.neighbours_of(unvisited)
+    else:
+        edges = graph.edges.join(unvisited.select(F.col("id").alias("src")), "src", "left_semi")
+    return edges.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
 def bfs(
     graph: Graph | CompressedGraph, source: int, mode: str = "top_down", bu_divisor: int | None = None,
-    levels: Levels | None = None, max_levels: int | None = None,
+    levels: Levels | None = None, max_levels: int | None = None, num_partitions: int | None = None,
 ) -> DataFrame:
     """(id, dist) of all vertices; dist is null where the source doesn't lead.
 
     mode: top_down, bottom_up, or hybrid, which goes bottom-up while the frontier is larger than
     n // bu_divisor.  The result doesn't depend on it.  In a symmetric graph only the last two levels
-    can be met again, so the visited set isn't searched; otherwise it is.
+    can be met again, so a top-down step doesn't search the visited set; otherwise it is kept as a few tables.
+    num_partitions: how many parts the edges are cut into, if not as the session says.
     """
     if mode not in ("top_down", "bottom_up", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
@@ -53,24 +64,28 @@ def bfs(
     bu_divisor = bu_divisor or (26 if compressed else 20)
     spark = graph.vertices.sparkSession
     graph.require(source)
+    if num_partitions and not compressed:
+        graph = Graph(graph.vertices, graph.edges.repartition(num_partitions, "src").persist(), graph.symmetric, graph._n, graph._m)
     levels = levels if levels is not None else Levels()
-    frontier = materialise(spark.createDataFrame([(source,)], "id bigint"), "frontier")
-    done, size = [frontier], 1
-    while size and (max_levels is None or len(done) <= max_levels):
+    frontier = materialise(spark.createDataFrame([(source, 0)], "id bigint, dist int"), "frontier")
+    visited, last, size, depth = Pieces(frontier), [frontier], 1, 0
+    while size and (max_levels is None or depth < max_levels):
         levels.sizes.append(size)
-        seen = reduce(DataFrame.unionByName, done[-2:] if graph.symmetric else done)
+        depth += 1
         up = mode == "bottom_up" or mode == "hybrid" and size > graph.n // bu_divisor
         levels.directions.append("bottom_up" if up else "top_down")
+        near = last[-1].select("id")
         if up:
-            found = _bottom_up(graph, frontier, reduce(DataFrame.unionByName, done))
+            found = _bottom_up(graph, near, graph.vertices.join(visited.all().select("id"), "id", "left_anti"))
         else:
-            found = _top_down(graph, frontier).join(seen, "id", "left_anti")
-        frontier = materialise(found.select("id"), "frontier")
-        size = frontier.count()
+            seen = reduce(DataFrame.unionByName, last[-2:]) if graph.symmetric else visited.all()
+            found = _top_down(graph, near).join(seen.select("id"), "id", "left_anti")
+        frontier, size = counted(found.select("id", F.lit(depth).alias("dist")), "frontier")
         if size:
-            done.append(frontier)
-    reached = reduce(DataFrame.unionByName, [f.withColumn("dist", F.lit(k)) for k, f in enumerate(done)])
-    return graph.vertices.join(reached, "id", "left").select("id", F.col("dist").cast("int").alias("dist"))
+            # the pieces of the visited set may be written anew and deleted: the last two levels are kept as they are
+            visited.add(frontier)
+            last = [last[-1], frontier]
+    return graph.vertices.join(visited.all(), "id", "left").select("id", "dist")
 
 
 def bfs_parents(graph: Graph, distances: DataFrame) -> DataFrame:
@@ -87,6 +102,12 @@ def frontier_profile(distances: DataFrame) -> DataFrame:
     return distances.where("dist is not null").groupBy("dist").agg(F.count("*").alias("n"))
 
 
+def frontier_classes(graph: Graph, distances: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(dist, deg_class, n): vertices by level and degree class."""
+    near = distances.where("dist is not null").join(graph.degrees(), "id")
+    return near.groupBy("dist", degree_class(F.col("deg"), inclusive).alias("deg_class")).agg(F.count("*").alias("n"))
+
+
 def bfs_summary(distances: DataFrame) -> DataFrame:
     """One row: vertices, reached ones, their share in per cent, and the greatest distance from the source."""
     return distances.agg(

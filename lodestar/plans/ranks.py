@@ -56,3 +56,33 @@ def running_sum(df: DataFrame, order: list, value: str, name: str, partitions: i
     placed = materialise(spread.mapInArrow(run, schema), "sums")
     joined = placed.join(_offsets(placed, F.sum(value)), F.shiftright("__at", 33) == F.col("__p"))
     return joined.select(*fields, (F.col("__begin") + F.col("__sum")).alias(name))
+
+
+def previous(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """Adds, as a struct, the row before in the order of bigint columns; null for the first one.  No window, so that
+    rows with one value in a column needn't meet in one task."""
+    kind = f"struct<{', '.join(f'{c}: bigint' for c in order)}>"
+    schema = df.schema.add("__at", "long").add(name, kind)
+    places = [df.columns.index(c) for c in order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[int | None] = [None] * len(order)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).cast(pa.int64()) for i in places]
+            before = [pa.concat_arrays([pa.array([x], pa.int64()), c.slice(0, len(c) - 1)]) for x, c in zip(last, columns)]
+            absent = np.zeros(batch.num_rows, bool)
+            absent[0] = last[0] is None
+            row = pa.StructArray.from_arrays(before, order, mask=pa.array(absent))
+            last = [c[-1].as_py() for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, row], names=[*batch.schema.names, name])
+
+    spread = _spread(df, order, partitions).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialise(spread.mapInArrow(run, schema), "previous")
+    part = F.shiftright("__at", 33)
+    ends = sorted(placed.groupBy(part.alias("p")).agg(F.max(F.struct(*order)).alias("x")).collect())  # a row a partition
+    pairs = [(after["p"], tuple(before["x"])) for before, after in zip(ends, ends[1:])]
+    carried = F.broadcast(df.sparkSession.createDataFrame(pairs, f"__p long, __x {kind}"))
+    joined = placed.join(carried, part == F.col("__p"), "left")
+    return joined.select(*df.columns, F.coalesce(name, "__x").alias(name))

@@ -7,8 +7,10 @@ import itertools
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Written tables that haven't been discarded: path -> number.
@@ -41,6 +43,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As `materialise`, with the number of rows, which is counted as they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, int(seen.get["n"])
+
+
+class Pieces:
+    """A table that grows piece by piece.  Beyond `most` pieces they are written as one, so that plans stay short and a
+    row is rewritten a few times only, however many pieces there are."""
+
+    def __init__(self, first: DataFrame, most: int = 12):
+        self.most, self.ages = most, [(0, first)]
+
+    def add(self, piece: DataFrame) -> None:
+        self.ages.append((0, piece))
+        while len(same := [k for k, (age, _) in enumerate(self.ages) if age == self.ages[-1][0]]) >= self.most:
+            age, old = self.ages[-1][0], [self.ages[k][1] for k in same]
+            whole = materialise(reduce(DataFrame.unionByName, old), "pieces")
+            for piece in old if age else []:  # pieces as they came may be read elsewhere
+                discard(piece)
+            self.ages = [x for k, x in enumerate(self.ages) if k not in same] + [(age + 1, whole)]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [piece for _, piece in self.ages])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.graph import Graph
+from ..plans.ranks import numbered
 
 HEADER = 16
 #: Edges of a partition, about.
@@ -89,26 +90,41 @@ def read_csrbin(spark: SparkSession, path: str) -> Graph:
     return Graph.dense(spark.read.format("csrbin").option("path", path).load(), n)
 
 
-def write_csrbin(graph: Graph, path: str) -> None:
-    """Write a graph whose ids are 0 .. n-1.  Rows come to the driver in order, a chunk at a time, as bytes."""
-    n, m = graph.n, graph.m
+def _write_at(path: str, offset: int, kind: str):
+    """Writes (place, value) rows, in runs of places that follow one another, to their places in a file; gives the
+    number of values.  A task that runs again writes the same bytes to the same places."""
+    width = np.dtype(kind).itemsize
 
-    def pack(kind: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        with open(path, "r+b") as f:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(kind).tobytes()], pa.binary())], ["b"])
+                place, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(kind)
+                begins = np.flatnonzero(np.append(True, np.diff(place) != 1)) if len(place) else []
+                for i, j in zip(begins, [*begins[1:], len(place)]):
+                    f.seek(offset + width * int(place[i]))
+                    f.write(value[i:j].tobytes())
+                total += len(place)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+
+    return run
 
-        return run
 
-    parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = graph.row_ptr().repartitionByRange(parts, "id").sortWithinPartitions("id").select("row_end")
-    near = graph.edges.repartitionByRange(parts, "src", "dst").sortWithinPartitions("src", "dst").select("dst")
+def write_csrbin(graph: Graph, path: str) -> None:
+    """Write a graph whose ids are 0 .. n-1.  The file is laid out first, and executors write the ranges of their rows;
+    as for reading, it must lie where all of them can open it.  It gets its name when it is whole."""
+    n, m = graph.n, graph.m
     draft = f"{path}.{uuid.uuid4().hex}"
     with open(draft, "wb") as f:
         f.write(struct.pack("<QQq", n, m, 0))
-        for rows, kind in ((ends, "<i8"), (near, "<i4")):
-            for row in rows.mapInArrow(pack(kind), "b binary").toLocalIterator():
-                f.write(row["b"])
+        f.truncate(HEADER + 8 * (n + 1) + 4 * m)
+    ends = graph.row_ptr().select((F.col("id") + 1).alias("place"), "row_end")
+    near = numbered(graph.edges.select("src", "dst"), ["src", "dst"], "place").select("place", "dst")
+    for rows, offset, kind, wanted in ((ends, HEADER, "<i8", n), (near, HEADER + 8 * (n + 1), "<i4", m)):
+        done = rows.mapInArrow(_write_at(draft, offset, kind), "n bigint").agg(F.sum("n")).first()[0] or 0
+        if done != wanted:
+            os.remove(draft)
+            raise ValueError(f"{done} of {wanted} values were written: ids must be 0 .. n-1")
     shutil.move(draft, path)
 
 
