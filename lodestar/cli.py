@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import components, compress, reorder, stats, traverse
+from .operators.graph import Graph
 from .sources import read_graph, write_csrbin
 
 
@@ -32,10 +33,32 @@ def arguments() -> argparse.ArgumentParser:
     change.add_argument("method", type=int, nargs="?", default=2)
     count = commands.add_parser("components", help="the number of components")
     count.add_argument("graph")
-    count.add_argument("--algorithm", choices=["exact", "sampled"], default="sampled")
+    count.add_argument("--algorithm", choices=["exact", "sampled", "rounds"], default="sampled")
+    count.add_argument("--compress", action="store_true", help="over compressed rows")
+    bench = commands.add_parser("bench", help="plain, bottom-up, hybrid and compressed searches, each validated and timed")
+    bench.add_argument("graph")
+    bench.add_argument("-s", "--source", type=int, default=0)
+    bench.add_argument("-n", "--trials", type=int, default=3)
     return parser
 
 
+def bench_searches(spark: SparkSession, graph: Graph, source: int, trials: int) -> int:
+    """Prints the session's settings, then for each way of searching its times, its speed-up and whether it agrees with the first."""
+    print(json.dumps({"settings": stats.settings(spark)}))
+    small, times, valid = compress.compress(graph), [], True
+    plain = traverse.bfs(graph, source).cache()
+    edges = traverse.traversed_edges(graph, plain).first()[0]
+    for name, over, mode in (("plain", graph, "top_down"), ("bottom_up", graph, "bottom_up"), ("hybrid", graph, "hybrid"), ("compressed", small, "hybrid")):
+        figures = stats.trial_stats(stats.timed(spark, lambda: traverse.bfs(over, source, mode), trials), edges).first().asDict()
+        agrees = traverse.mismatches(traverse.bfs(over, source, mode), plain).isEmpty()
+        valid &= agrees
+        times.append((name, figures["mean_ms"]))
+        print(stats.record(name, "graph", graph.n, graph.m, figures, edges, validated=agrees))
+    for row in stats.speedups(spark.createDataFrame(times, "variant string, ms double"), "plain").collect():
+        print(json.dumps(row.asDict()))
+    return 0 if valid else 1
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("lodestar").getOrCreate()
@@ -44,14 +67,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_csrbin(reorder.reorder(graph, args.method)[0], args.output)
         return 0
     if args.command == "components":
+        graph = compress.compress(graph) if args.compress else graph
         print(components.component_count(components.connected_components(graph, args.algorithm)).first()[0])
         return 0
+    if args.command == "bench":
+        return bench_searches(spark, graph.symmetrized().persist(), args.source, args.trials)
     graph = (graph.symmetrized() if args.undirected else graph).persist()
     searched = compress.compress(graph) if args.compress else graph
 
     def run() -> DataFrame:
         if args.algo in ("afforest", "union_find"):
-            return traverse.reachability(graph, args.source)
+            return traverse.reachability(searched, args.source)
         if args.algo == "auto":
             return traverse.traverse(graph, args.source)
         return traverse.bfs(searched, args.source, "hybrid" if args.algo == "adaptive" else "top_down", args.bu_threshold)

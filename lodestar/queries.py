@@ -6,12 +6,16 @@ dense: all lineitems; sparse: l_quantity >= 45; frag: l_quantity >= 49.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sources
 from .functions import cyclic_picks, lcg, wang_hash
 from .operators import components, compress, reorder, stats, traverse
 from .operators.graph import Graph
+from .plans.tables import shared_dir
 
 SOURCE = 1
 LEAST = {"dense": 0, "sparse": 45, "frag": 49}
@@ -85,7 +89,107 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
     return everything(s, d).stats().withColumn("avg_degree", F.round("avg_degree", 9))
 
 
+def _dense_ids(graph: Graph) -> Graph:
+    return reorder.relabel(graph, graph.dense_ids())
+
+
+def _file(s: SparkSession, ending: str) -> str:
+    """A new place in the shared folder, as a path that Python can open too."""
+    return f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/{uuid.uuid4().hex}{ending}"
+
+
+def _through_text(s: SparkSession, d: str) -> DataFrame:
+    path = _file(s, ".txt")
+    sources.write_text(_dense_ids(both_ways(s, d, "sparse")), path)
+    return sources.read_graph(s, path).edges
+
+
+def _through_csrbin(s: SparkSession, d: str) -> DataFrame:
+    path = _file(s, ".csrbin")
+    sources.write_csrbin(_dense_ids(both_ways(s, d, "sparse")), path)
+    return sources.read_graph(s, path).edges
+
+
+def _reordered_file(s: SparkSession, d: str) -> DataFrame:
+    path = _file(s, ".csrbin")
+    sources.write_csrbin(reorder.reorder(_dense_ids(both_ways(s, d, "sparse")), reorder.Method.DEGREE)[0], path)
+    return sources.read_graph(s, path).degrees()
+
+
+def _classes_by_level(s: SparkSession, d: str) -> DataFrame:
+    graph = both_ways(s, d).persist()
+    return traverse.frontier_classes(graph, traverse.bfs(graph, SOURCE))
+
+
+def _differences(s: SparkSession, d: str) -> DataFrame:
+    """Where hop distances differ from mere reachability."""
+    graph = both_ways(s, d, "sparse").persist()
+    return traverse.mismatches(traverse.reachability(graph, SOURCE), traverse.bfs(graph, SOURCE))
+
+
+def _validated(s: SparkSession, d: str) -> DataFrame:
+    """Each way of searching against the plain one."""
+    graph = both_ways(s, d, "frag").persist()
+    plain, small = traverse.bfs(graph, SOURCE), compress.compress(graph)
+    ways = {"bottom_up": graph, "hybrid": graph, "compressed": small}
+    rows = [
+        traverse.mismatches(traverse.bfs(g, SOURCE, mode="top_down" if k == "compressed" else k), plain).agg(F.count("*").alias("wrong"))
+        .select(F.lit(k).alias("variant"), "wrong")
+        for k, g in ways.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _banded(s: SparkSession, d: str, **options) -> DataFrame:
+    """Edges of a generated graph, loops and repeated ones included."""
+    return sources.uniform_graph(s, 1000, 20_000, **options).stats().select("num_nodes", "num_edges", F.round("avg_degree", 6).alias("avg_degree"))
+
+
+def _random_bounds(s: SparkSession, d: str) -> DataFrame:
+    """One row: what holds for any seed."""
+    graph = sources.random_graph(s, 2000, 8)
+    near = graph.degrees().agg(F.count("*").alias("num_nodes"), F.max(F.col("deg")).alias("most"))
+    loops = graph.edges.where("src = dst or dst < 0 or dst >= 2000").agg(F.count("*").alias("misplaced"))
+    return near.crossJoin(loops).select("num_nodes", (F.col("most") <= 16).alias("bounded"), "misplaced")  # one row each
+
+
+def _speedups(s: SparkSession, d: str) -> DataFrame:
+    """Line statuses as variants, and mean quantities as their times."""
+    rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("variant")).agg(F.avg("l_quantity").alias("ms"))
+    return stats.speedups(rows, "A").select("variant", F.round("ms", 6).alias("ms"), F.round("speedup", 6).alias("speedup"))
+
+
+def _moved(s: SparkSession, d: str) -> DataFrame:
+    """One row: the bytes that a search and a round over all edges touch, by the model, and the bandwidth at 2 ms."""
+    graph = both_ways(s, d)
+    moved = stats.bytes_moved(graph.n, graph.m, 3)
+    return s.createDataFrame([(traverse.estimated_bytes(graph.n, graph.m), moved, round(stats.bandwidth(moved, 2.0), 6))], "held long, moved long, gb_s double")
+
+
 QUERIES = {
+    "edges_in_range": lambda s, d: Graph.dense(both_ways(s, d, "sparse").edges, 1000).edges,
+    "edge_list_round_trip": _through_text,
+    "csrbin_round_trip": _through_csrbin,
+    "reordered_file": _reordered_file,
+    "uniform_graph": _banded,
+    "banded_graph": lambda s, d: _banded(s, d, globally_sorted=True),
+    "random_graph": _random_bounds,
+    "frontier_classes": _classes_by_level,
+    "byte_classes": lambda s, d: compress.compress(both_ways(s, d)).byte_class_counts(),
+    "compressed_neighbors": lambda s, d: compress.neighbours_of(compress.compress(both_ways(s, d)), SOURCE),
+    "compressed_rows": lambda s, d: compress.compress(both_ways(s, d, "sparse")).adjacency.select("id", F.col("deg").cast("bigint"), F.col("n_bytes").cast("bigint")),
+    "bfs_compressed_top_down": lambda s, d: traverse.bfs(compress.compress(both_ways(s, d)), SOURCE).where("dist is not null"),
+    "bfs_partitioned": lambda s, d: _distances(both_ways(s, d), num_partitions=5),
+    "bfs_mismatches": _differences,
+    "bfs_validated": _validated,
+    "traverse_auto": lambda s, d: _marked(traverse.traverse(both_ways(s, d, "frag").persist(), SOURCE)),
+    "traverse_over_limit": lambda s, d: _marked(traverse.traverse(both_ways(s, d, "frag").persist(), SOURCE, limit=0)),
+    "cc_compressed": lambda s, d: _component_rows(compress.compress(both_ways(s, d, "sparse"))),
+    "cc_rounds": lambda s, d: _component_rows(both_ways(s, d, "sparse"), algorithm="rounds"),
+    "round_sample": lambda s, d: components.round_edges(components.placed_edges(both_ways(s, d, "sparse")), 1),
+    "order_bfs_directed": lambda s, d: reorder.gap_bfs_order(directed(s, d, "frag")),
+    "bytes_moved": _moved,
+    "speedups": _speedups,
     "degree_stats": _stats,
     "degree_class_counts": lambda s, d: both_ways(s, d).class_counts(),
     "degrees": lambda s, d: everything(s, d).degrees(),
@@ -162,7 +266,49 @@ WANG = """(WITH a AS (SELECT {x} & 4294967295 AS h), b AS (SELECT (xor(xor(h, 61
 DISTANCES = "SELECT n AS id, d::INT AS dist FROM r"
 LABELS = "SELECT n AS id, l AS component FROM c"
 
+IDS = "ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v)"
+#: Searches from their roots (n, late), all at once: a vertex's level, and its place there.
+ORDER = """o(n, root, late, d, k) USING KEY (n) AS (
+  SELECT root, root, late, 0, row_number() OVER (ORDER BY late, root) FROM roots UNION
+  (SELECT n, min(root), min(late), min(d) + 1, row_number() OVER (ORDER BY min(k), n)
+   FROM (SELECT s.dst AS n, o.root, o.late, o.d, o.k FROM o JOIN {edges} s ON s.src = o.n
+     LEFT JOIN recurring.o AS w ON w.n = s.dst WHERE w.n IS NULL) GROUP BY n))"""
+ORDERED = "SELECT n AS old_id, row_number() OVER (ORDER BY late, root, d, k) - 1 AS new_id FROM o"
+ROOTS = """start AS ({start}), own AS (SELECT l FROM c WHERE n = (SELECT id FROM start)),
+ roots AS (SELECT id AS root, 0 AS late FROM start UNION ALL SELECT DISTINCT l, 1 FROM c WHERE l <> (SELECT l FROM own))"""
+
 ORACLE = {
+    "edges_in_range": _sql("sparse", "SELECT src, dst FROM sym WHERE src BETWEEN 0 AND 999 AND dst BETWEEN 0 AND 999"),
+    **{k: _sql("sparse", "SELECT x.k AS src, y.k AS dst FROM sym JOIN ids x ON x.id = src JOIN ids y ON y.id = dst", IDS) for k in ("edge_list_round_trip", "csrbin_round_trip")},
+    "reordered_file": _sql("sparse", "SELECT row_number() OVER (ORDER BY deg DESC, id DESC) - 1 AS id, deg FROM deg", DEG),
+    **{k: "SELECT 1000::BIGINT AS num_nodes, 20000::BIGINT AS num_edges, 20.0::DOUBLE AS avg_degree" for k in ("uniform_graph", "banded_graph")},
+    "random_graph": "SELECT 2000::BIGINT AS num_nodes, true AS bounded, 0::BIGINT AS misplaced",
+    "frontier_classes": _sql(
+        "dense", """SELECT d::INT AS dist, CASE WHEN deg < 32 THEN 'small' WHEN deg < 1024 THEN 'medium' ELSE 'large' END AS deg_class, count(*) AS n
+        FROM r JOIN deg ON deg.id = r.n GROUP BY 1, 2""", BFS, DEG),
+    "byte_classes": _sql("dense", "SELECT CASE WHEN n_bytes < 32 THEN 'small' ELSE 'large' END AS byte_class, count(*) AS n FROM bytes GROUP BY 1", ROW),
+    "compressed_neighbors": _sql("dense", "SELECT src, dst FROM sym WHERE src = 1"),
+    "compressed_rows": _sql("sparse", "SELECT id, deg, n_bytes FROM bytes JOIN deg USING (id)", DEG, ROW),
+    "bfs_mismatches": _sql("sparse", "SELECT n AS id, 1::INT AS a, d::INT AS b FROM r WHERE d > 1", BFS),
+    "bfs_validated": "SELECT variant, 0::BIGINT AS wrong FROM (VALUES ('bottom_up'), ('hybrid'), ('compressed')) t(variant)",
+    "traverse_auto": _sql("frag", "SELECT id, coalesce(d, -1)::INT AS dist FROM v LEFT JOIN r ON n = id", BFS),
+    "traverse_over_limit": _sql(
+        "frag", "SELECT n AS id, CASE WHEN n = 1 THEN 0 WHEN l = (SELECT l FROM c WHERE n = 1) THEN 1 ELSE -1 END::INT AS dist FROM c", CC),
+    "round_sample": _sql(
+        "sparse", """SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k,
+        count(*) OVER (PARTITION BY src) AS deg FROM sym) WHERE k = (((src & 4294967295) * 1664525 + 1013904223 + 1) & 4294967295) % deg"""),
+    "order_bfs": _sql("frag", ORDERED, CC, DEG, ROOTS.format(start="SELECT id FROM deg ORDER BY deg DESC, id LIMIT 1"), ORDER.format(edges="sym")),
+    "order_gap_bfs": _sql("dense", ORDERED, CC, ROOTS.format(start="SELECT min(id) AS id FROM v"), ORDER.format(edges="sym")),
+    #: Orders point to parts, so a part belongs to the search of its least order, or to its own where it comes first.
+    "order_bfs_directed": _sql(
+        "frag", """SELECT id AS old_id, row_number() OVER (ORDER BY root, d, id) - 1 AS new_id
+        FROM (SELECT DISTINCT a AS id, a AS root, 0 AS d FROM e0 UNION ALL
+        SELECT b, least(b, min(a)), CASE WHEN b < min(a) THEN 0 ELSE 1 END FROM e0 GROUP BY b)"""),
+    "bytes_moved": _sql(
+        "dense", """SELECT 8 * (n + 1) + 4 * m + 12 * n AS held, 3 * (8 * (n + 1) + 8 * m + 4 * n) AS moved,
+        round(3 * (8 * (n + 1) + 8 * m + 4 * n) / 2e6, 6)::DOUBLE AS gb_s FROM (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM sym) AS m)"""),
+    "speedups": """SELECT variant, round(ms, 6) AS ms, round((SELECT avg(l_quantity) FROM lineitem WHERE l_returnflag = 'A') / ms, 6) AS speedup
+        FROM (SELECT l_returnflag AS variant, avg(l_quantity) AS ms FROM lineitem GROUP BY 1)""",
     "degree_stats": _sql(
         "frag", """SELECT count(*) AS num_nodes, sum(d)::BIGINT AS num_edges, min(d) AS min_degree, max(d) AS max_degree, round(avg(d), 9) AS avg_degree
         FROM (SELECT id, coalesce(deg, 0) AS d FROM every LEFT JOIN deg USING (id))""", DEG, f"every AS ({ALL})"),
@@ -201,6 +347,8 @@ ORACLE = {
     "cc_sparse": _sql("sparse", LABELS, CC),
     "cc_frag": _sql("frag", LABELS, CC),
     "cc_sampled": _sql("sparse", LABELS, CC),
+    "cc_compressed": _sql("sparse", LABELS, CC),
+    "cc_rounds": _sql("sparse", LABELS, CC),
     "cc_isolated": _sql("frag", "SELECT id, coalesce(l, id) AS component FROM every LEFT JOIN c ON n = id", CC, f"every AS ({ALL})"),
     "component_sizes": _sql("sparse", "SELECT l AS component, count(*) AS size FROM c GROUP BY l", CC),
     "component_count": _sql("frag", "SELECT count(DISTINCT l) AS num_components FROM c", CC),
@@ -220,4 +368,4 @@ ORACLE = {
     "trial_stats": """SELECT count(l_quantity)::INT AS num_trials, round(min(l_quantity), 6) AS min_ms, round(max(l_quantity), 6) AS max_ms,
         round(avg(l_quantity), 6) AS mean_ms, round(median(l_quantity), 6) AS median_ms, round(stddev_pop(l_quantity), 6) AS std_dev_ms,
         round(4000000 / (avg(l_quantity) * 1e6), 6) AS gteps FROM lineitem""",
-} | {k: _sql("dense", DISTANCES, BFS) for k in ("bfs_dense", "bfs_hybrid_dense", "bfs_bottom_up_dense", "bfs_compressed_dense")}
+} | {k: _sql("dense", DISTANCES, BFS) for k in ("bfs_dense", "bfs_hybrid_dense", "bfs_bottom_up_dense", "bfs_compressed_dense", "bfs_compressed_top_down", "bfs_partitioned")}

@@ -114,6 +114,9 @@ def write_csrbin(graph: Graph, path: str) -> None:
     """Write a graph whose ids are 0 .. n-1.  The file is laid out first, and executors write the ranges of their rows;
     as for reading, it must lie where all of them can open it.  It gets its name when it is whole."""
     n, m = graph.n, graph.m
+    ids = graph.vertices.agg(F.min("id").alias("least"), F.max("id").alias("greatest")).first()
+    if n and (ids["least"], ids["greatest"]) != (0, n - 1):
+        raise ValueError("ids must be 0 .. n-1")
     draft = f"{path}.{uuid.uuid4().hex}"
     with open(draft, "wb") as f:
         f.write(struct.pack("<QQq", n, m, 0))
@@ -124,7 +127,7 @@ def write_csrbin(graph: Graph, path: str) -> None:
         done = rows.mapInArrow(_write_at(draft, offset, kind), "n bigint").agg(F.sum("n")).first()[0] or 0
         if done != wanted:
             os.remove(draft)
-            raise ValueError(f"{done} of {wanted} values were written: ids must be 0 .. n-1")
+            raise ValueError(f"{done} of {wanted} values were written")
     shutil.move(draft, path)
 
 

@@ -223,3 +223,81 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["components", str(path)], spark) == 0
     assert cli.main(["reorder", str(path), str(tmp_path / "o.csrbin"), "1"], spark) == 0
     assert read_csrbin(spark, str(tmp_path / "o.csrbin")).m == 2
+
+
+def sequential(edges, n, start):
+    """By brute force: the order of searches one after another, each from the least vertex left."""
+    near = {i: sorted({b for a, b in edges if a == i}) for i in range(n)}
+    order, met, todo = [], set(), deque()
+    for root in [start, *range(n)]:
+        if root not in met:
+            met.add(root)
+            todo.append(root)
+            while todo:
+                x = todo.popleft()
+                order.append(x)
+                for y in near[x]:
+                    if y not in met:
+                        met.add(y)
+                        todo.append(y)
+    return order
+
+
+def order_of(mapping):
+    return [r["old_id"] for r in mapping.orderBy("new_id").collect()]
+
+
+def test_directed_orders_against_one_after_another(spark):
+    rng = np.random.default_rng(11)
+    for n, m in ((9, 8), (14, 30)):
+        edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2)) if a != b})
+        graph = make(spark, edges, n, symmetric=False)
+        assert order_of(reorder.gap_bfs_order(graph)) == sequential(edges, n, 0)
+        start = reorder.max_degree_node(graph).first()["id"]
+        assert order_of(reorder.bfs_order(graph)) == sequential(edges, n, start)
+
+
+def test_orders_of_an_empty_graph(spark):
+    edges = spark.createDataFrame([], "src long, dst long")
+    for symmetric in (True, False):
+        graph = Graph(spark.range(0), edges, symmetric)
+        for order in (reorder.bfs_order, reorder.gap_bfs_order, reorder.degree_order):
+            assert order(graph).columns == ["old_id", "new_id"] and order(graph).count() == 0
+
+
+def test_long_paths(spark):
+    """More levels than the visited set has pieces, in both directions of search."""
+    n = 30
+    edges = [(i, i + 1) for i in range(n - 1)]
+    for graph in (make(spark, edges, n), make(spark, edges, n, symmetric=False)):
+        for mode in ("bottom_up", "top_down"):
+            assert sorted(map(tuple, traverse.bfs(graph, 0, mode).collect())) == [(i, i) for i in range(n)]
+
+
+def test_rows_in_blocks(spark, monkeypatch):
+    """Neighbours beyond a row's size go into further rows."""
+    monkeypatch.setattr(compress, "ROW", 4)
+    edges = [(0, i) for i in range(1, 40)] + [(3, 4)]
+    graph = make(spark, edges, 42)
+    small = compress.compress(graph)
+    assert small.adjacency.agg(F.max("deg")).first()[0] == 4 and small.n == 42
+    assert sorted(map(tuple, small.decoded().edges.collect())) == sorted(map(tuple, graph.edges.collect()))
+    assert {r["id"]: r["dist"] for r in traverse.bfs(small, 1, "hybrid", 4).collect()} == {r["id"]: r["dist"] for r in traverse.bfs(graph, 1).collect()}
+    assert dict(map(tuple, small.byte_class_counts().collect())) == {"small": 41, "large": 1}
+
+
+def test_writer_refuses_sparse_ids(spark, tmp_path):
+    df = spark.createDataFrame([(0, 5)], "src long, dst long")
+    with pytest.raises(Exception):
+        write_csrbin(Graph.from_edges(df), str(tmp_path / "sparse.csrbin"))
+    assert not list(tmp_path.iterdir())
+
+
+def test_bench_command(spark, tmp_path, capsys):
+    path = str(tmp_path / "g.csrbin")
+    write_csrbin(make(spark, [(0, 1), (1, 2), (2, 3)], 5), path)
+    assert cli.main(["bench", path, "-n", "1"], spark) == 0
+    out = capsys.readouterr().out
+    assert '"settings"' in out and out.count('"validated": true') == 4 and out.count("speedup") == 4
+    assert cli.main(["components", path, "--compress", "--algorithm", "rounds"], spark) == 0
+    assert capsys.readouterr().out.strip() == "2"
