@@ -83,10 +83,11 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def settled(df: DataFrame, name: str, begun: int) -> DataFrame:
-    """Write df, and delete the tables that were written on the way to it, since `begun`."""
+def settled(df: DataFrame, name: str, begun: int, *kept: DataFrame) -> DataFrame:
+    """Write df, and delete the tables that were written on the way to it, since `begun`, but for some."""
     out = materialise(df, name)
-    for path in [p for p, n in _written.items() if n > begun and p != out._lodestar_path]:
+    stay = {x._lodestar_path for x in (out, *kept)}
+    for path in [p for p, n in _written.items() if n > begun and p not in stay]:
         _delete(df.sparkSession, path)
     return out
 
