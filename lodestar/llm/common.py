@@ -32,16 +32,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def lookup(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+def lookup(rows: DataFrame, named: DataFrame, keys: list[str], counts: str | None = None) -> DataFrame:
     """rows joined (inner, null keys left out) with what `named` has for their keys, one row a key.
 
-    Keys with over a ten-thousandth of the rows, of which there are at most 10,000, are broadcast, so that no task gets
-    all rows of a frequent key.  Both are written tables, or cheap to read twice.
+    Keys with over a ten-thousandth of the counted rows, of which there are at most 10,000, are broadcast, so that no task gets
+    all rows of a frequent key.  Both are written tables, or cheap to read twice.  counts: the column of `named` that
+    has the rows of a key, or more than those, where that is known.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias(P + "n"))
-    total = F.broadcast(rows.agg(F.count("*").alias(P + "all")))
-    often = counts.join(total).where(F.col(P + "n") > F.greatest(F.lit(32), F.col(P + "all") / 10_000)).select(*keys)
-    often = materialise(often, "often")
-    hot = F.broadcast(often.withColumn(P + "hot", F.lit(True)))  # at most 10,000 rows
-    rest = rows.join(F.broadcast(often), keys, "left_anti").join(named, keys)
-    return rows.join(F.broadcast(named.join(hot, keys).drop(P + "hot")), keys).unionByName(rest)
+    of = named.select(*keys, F.col(counts).alias(P + "n")) if counts else rows.groupBy(*keys).agg(F.count("*").alias(P + "n"))
+    total = of.agg(F.sum(P + "n")).first()[0] or 0
+    often = of.where(F.col(P + "n") > max(32, total / 10_000)).select(*keys)
+    often = F.broadcast(materialise(often, "often"))  # at most 10,000 rows
+    rest = rows.join(often, keys, "left_anti").join(named, keys)
+    return rows.join(F.broadcast(named.join(often, keys, "left_semi")), keys).unionByName(rest)
