@@ -36,6 +36,8 @@ _LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\t-\r {
 KEPT_WORDS = 600_000
 #: Words that the library encodes at a time.
 AT_ONCE = 20_000
+#: Looks at a bin in the local search, for each underfull one, and of a group at least.
+LOOKS, LEAST_LOOKS = 1, 400
 
 
 class WordEncoder:
@@ -209,9 +211,11 @@ def _best_step(under: list[_Bin], k: int, capacity: int) -> tuple[int, int, int,
     return best
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, looks: int | None = None) -> list[list[int]]:
     """Moves, and exchanges of one for one, two for one and one for two, between underfull bins, each of which raises
     the sum of squared fills, until nothing helps: all items, and all pairs of items of a bin, are tried.
+    looks: how often bins are looked at, for each underfull one, before the search gives up (LEAST_LOOKS in all at
+    least); without it the search goes on until nothing helps.
 
     The emptiest bins give first; after each step it is their turn again.  At the bound on the number of
     bins there is nothing left to do.
@@ -220,8 +224,9 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
     every = [_Bin(list(b), lengths) for b in bins]
     full = [b for b in every if b.fill == capacity]
     under = sorted((b for b in every if b.fill < capacity), key=lambda b: b.fill)
-    k = 0
-    while k < len(under) and len(full) + len(under) > least:
+    k, left = 0, float("inf") if looks is None else max(LEAST_LOOKS, looks * len(under))
+    while k < len(under) and len(full) + len(under) > least and left > 0:
+        left -= 1
         rise, out, out_n, to, back, back_n = _best_step(under, k, capacity)
         if not rise:
             k += 1
@@ -236,9 +241,9 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
     return [b.items for b in full + under]
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_lengths(lengths: np.ndarray, capacity: int, looks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each item, and its offset there."""
-    bins = local_search(lengths, best_fit(lengths, capacity), capacity)
+    bins = local_search(lengths, best_fit(lengths, capacity), capacity, looks)
     of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, members in enumerate(bins):
         of[members] = k
@@ -246,14 +251,14 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return of, offset
 
 
-def _round(rows: DataFrame, capacity: int, per_group: int, level: int) -> DataFrame:
+def _round(rows: DataFrame, capacity: int, per_group: int, level: int, looks: int | None) -> DataFrame:
     """One round of packing: adds sequence_id, offset and the sequence's fill to rows with row and length."""
     groups = max(1, -(-rows.count() // per_group))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row", ignore_index=True)
         lengths = part["length"].to_numpy(np.int64)
-        of, offset = pack_lengths(lengths, capacity)
+        of, offset = pack_lengths(lengths, capacity, looks)
         fill = np.bincount(of, weights=lengths).astype(np.int64)[of]
         group = (level << 56) | (int(part["part"].iloc[0]) << 28)
         return part.drop(columns="part").assign(sequence_id=group + of, offset=offset, fill=fill)
@@ -263,19 +268,20 @@ def _round(rows: DataFrame, capacity: int, per_group: int, level: int) -> DataFr
     return dealt.groupBy("part").applyInPandas(pack, f"{fields}, sequence_id long, offset long, fill long")
 
 
-def pack_pieces(parts: DataFrame, capacity: int = 4096, per_group: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to pieces that stand in a written table."""
-    first = materialise(_round(parts, capacity, per_group, 0), "packed")
+def pack_pieces(parts: DataFrame, capacity: int = 4096, per_group: int = 4096, looks: int | None = LOOKS) -> DataFrame:
+    """Adds sequence_id and offset to pieces that stand in a written table.  per_group: pieces that are packed
+    together, about; looks: see `local_search`."""
+    first = materialise(_round(parts, capacity, per_group, 0, looks), "packed")
     #: Underfull sequences hold few pieces, as most are full to the last token.
     rest = first.where(F.col("fill") < capacity).drop("sequence_id", "offset", "fill")
-    second = _round(rest, capacity, 4 * per_group, 1)
+    second = _round(rest, capacity, 4 * per_group, 1, looks)
     return first.where(F.col("fill") == capacity).unionByName(second).drop("row", "fill")
 
 
 def pack(
     docs: DataFrame, vocabulary_path: str, capacity: int = 4096, closing_id: int = 1, text: str = "text",
-    doc_id: str = "doc_id", digest: bool = False,
+    doc_id: str = "doc_id", digest: bool = False, looks: int | None = LOOKS,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) of each piece of each document."""
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of each piece of each document.  looks: see `local_search`."""
     parts = materialise(pieces(docs, vocabulary_path, capacity, closing_id, text, doc_id, digest), "pieces")
-    return pack_pieces(parts, capacity)
+    return pack_pieces(parts, capacity, looks=looks)
