@@ -37,7 +37,7 @@ KEPT_WORDS = 600_000
 #: Words that the library encodes at a time.
 AT_ONCE = 20_000
 #: Looks at a bin in the local search, for each underfull one, and of a group at least.
-LOOKS, LEAST_LOOKS = 1, 400
+LOOKS, LEAST_LOOKS = 2, 400
 
 
 class WordEncoder:
