@@ -77,18 +77,16 @@ class WordEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         #: Texts beyond Latin-1, or with a special token's string, go to the library whole.
         parts = [_LATIN_WORDS.findall(t.lower()) if plain(t) and not self.cut.search(t) else None for t in texts]
-        new: set[str] = set()
-        for words in parts:
-            new.update(words or ())
-        every = len(new)
-        missing = new.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > max(KEPT_WORDS, every):
-                self.known.clear()
-                missing = new
-            self.learn(sorted(missing))
-        of = self.known.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(of, words)) for t, words in zip(texts, parts)]
+        found = [words and list(map(self.known.get, words)) for words in parts]  # None for words that aren't known yet
+        gaps = [[k for k, x in enumerate(ids) if x is None] if ids and None in ids else () for ids in found]
+        new = {words[k] for words, gap in zip(parts, gaps) for k in gap}
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+        self.learn(sorted(new))
+        for words, ids, gap in zip(parts, found, gaps):
+            for k in gap:
+                ids[k] = self.known[words[k]]
+        return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, found)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
