@@ -52,7 +52,8 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 class Pieces:
     """A table that grows piece by piece.  Beyond `most` pieces they are written as one, so that plans stay short and a
-    row is rewritten a few times only, however many pieces there are."""
+    row is rewritten a few times only, however many pieces there are.  Pieces are written tables, and deleted then, but for
+    the last two."""
 
     def __init__(self, first: DataFrame, most: int = 12):
         self.most, self.ages = most, [(0, first)]
@@ -62,7 +63,7 @@ class Pieces:
         while len(same := [k for k, (age, _) in enumerate(self.ages) if age == self.ages[-1][0]]) >= self.most:
             age, old = self.ages[-1][0], [self.ages[k][1] for k in same]
             whole = materialise(reduce(DataFrame.unionByName, old), "pieces")
-            for piece in old if age else []:  # pieces as they came may be read elsewhere
+            for piece in old if age else old[:-2]:  # the last two as they came may still be read
                 discard(piece)
             self.ages = [x for k, x in enumerate(self.ages) if k not in same] + [(age + 1, whole)]
 
