@@ -40,8 +40,11 @@ def lookup(rows: DataFrame, named: DataFrame, keys: list[str], counts: str | Non
     has the rows of a key, or more than those, where that is known.
     """
     of = named.select(*keys, F.col(counts).alias(P + "n")) if counts else rows.groupBy(*keys).agg(F.count("*").alias(P + "n"))
-    total = of.agg(F.sum(P + "n")).first()[0] or 0
-    often = of.where(F.col(P + "n") > max(32, total / 10_000)).select(*keys)
+    total, most = of.agg(F.sum(P + "n"), F.max(P + "n")).first()
+    bound = max(32, (total or 0) / 10_000)
+    if (most or 0) <= bound:
+        return rows.join(named, keys)
+    often = of.where(F.col(P + "n") > bound).select(*keys)
     often = F.broadcast(materialise(often, "often"))  # at most 10,000 rows
     rest = rows.join(often, keys, "left_anti").join(named, keys)
     return rows.join(F.broadcast(named.join(often, keys, "left_semi")), keys).unionByName(rest)
