@@ -11,6 +11,7 @@ from lodestar import cli
 from lodestar.functions import degree_class, lcg, varint_length, wang_hash
 from lodestar.operators import components, compress, reorder, stats, traverse
 from lodestar.operators.graph import Graph, valid_row_ptr
+from lodestar.plans import ranks
 from lodestar.sources import random_graph, read_csrbin, read_graph, read_text, uniform_graph, write_csrbin, write_text
 
 
@@ -301,3 +302,37 @@ def test_bench_command(spark, tmp_path, capsys):
     assert '"settings"' in out and out.count('"validated": true') == 4 and out.count("speedup") == 4
     assert cli.main(["components", path, "--compress", "--algorithm", "rounds"], spark) == 0
     assert capsys.readouterr().out.strip() == "2"
+
+
+def test_rank_columns_leave_their_table_alone(spark):
+    """Rows before and sums, over several partitions; the table's own schema stays as it is."""
+    rows = sorted({(k * k % 23, k * 7 % 31) for k in range(200)})
+    df = spark.createDataFrame(rows[::-1], "src bigint, dst bigint")
+    before = ranks.previous(df, ["src", "dst"], "before", 5)
+    sums = ranks.running_sum(df, ["src", "dst"], "dst", "total", 5)
+    assert df.columns == ["src", "dst"] and before.columns == ["src", "dst", "before"] and sums.columns == ["src", "dst", "total"]
+    found = sorted((r.src, r.dst, r.before and tuple(r.before)) for r in before.collect())
+    assert found == [(*row, last) for row, last in zip(rows, [None, *rows])]
+    assert sorted(map(tuple, sums.collect())) == [(*row, sum(d for _, d in rows[:k])) for k, row in enumerate(rows)]
+
+
+def test_row_sizes(spark):
+    """Deltas, sizes, offsets and whether rows fit, against plain Python; a vertex alone has an empty row."""
+    rng = np.random.default_rng(3)
+    edges = sorted({(a, b) for a, b in rng.integers(0, 40, (150, 2)).tolist() if a != b} | {(0, 300), (1, 70_000)})
+    edges = sorted({*edges, *((b, a) for a, b in edges)})
+    graph = Graph(spark.createDataFrame([(k,) for k in sorted({a for a, _ in edges} | {999})], "id bigint"), spark.createDataFrame(edges, "src bigint, dst bigint"), True)
+    steps, sizes, last = [], {r.id: 0 for r in graph.vertices.collect()}, None
+    for a, b in edges:
+        steps.append((a, b, b - last[1] if last and last[0] == a else b))
+        sizes[a] += max(1, (steps[-1][2].bit_length() + 6) // 7)
+        last = a, b
+    assert sorted(map(tuple, compress.deltas(graph).collect())) == steps
+    assert dict(map(tuple, compress.row_bytes(graph).collect())) == sizes
+    at, ends = 0, {}
+    for k in sorted(sizes):
+        ends[k] = (at, at := at + sizes[k])
+    assert {r.id: (r.byte_start, r.byte_end) for r in compress.byte_offsets(graph).collect()} == ends
+    assert {r.id: r.fits for r in compress.fits_in_place(graph).collect()} == {k: e <= 4 * sum(a <= k for a, _ in edges) for k, (_, e) in ends.items()}
+    total = compress.ratio(graph).first()
+    assert (total.raw_bytes, total.compressed_bytes) == (4 * len(edges), at)
